@@ -1,0 +1,249 @@
+"""Anchors: which windows of a fixed number of units may occur twice, found in linear work.
+
+Both substring operators ask which windows of W units (bytes or words) occur elsewhere. Every
+window names an anchor: its k-gram with the least hash, the leftmost among equals. The choice
+depends on the window's content alone, so equal windows have equal anchors at equal offsets,
+and consecutive windows that share one anchor form a segment: one row for many windows.
+Windows can be equal only in segments whose k-grams are equal, so only k-grams seen twice
+matter. Their segments are cut out of the text and sent to the group of their k-gram.
+
+A k-gram seen very often would make one very large group. Its segments are cut into narrower
+bands of windows first, each grouped by all bytes that the band's windows have in common; at
+width one a group is a single string. The cut keeps every window, and copies of a segment are
+collapsed to one row per batch before any shuffle.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracewarden.llm.shared import joined_bytes, keyed, sliced, written
+
+BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+#: k-grams seen more often are cut into bands of so many windows.
+BANDS = ((2_000, 16), (100_000, 1))
+SPLIT = re.compile(rb"[\x20\x09-\x0D]+")
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_powers: dict[str, np.ndarray] = {}
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64-bit values."""
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0x7FB5D329728EA185)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x81DADEF4BC2DD44D)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers.get("up", ())) < n:
+        m = max(n, 1 << 20)
+        for name, base in (("up", BASE), ("down", INVERSE)):
+            full = np.full(m, base, dtype=np.uint64)
+            full[0] = 1
+            _powers[name] = np.cumprod(full, dtype=np.uint64)
+    return _powers["up"][:n], _powers["down"][:n]
+
+
+def sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums from which ``span_hash`` takes the hash of any span."""
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers(len(values))[1], out=out[1:])
+    return out
+
+
+def span_hash(prefix: np.ndarray, a: np.ndarray | slice, b: np.ndarray | slice, up: np.ndarray) -> np.ndarray:
+    return (prefix[b] - prefix[a]) * up
+
+
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    span = 1
+    while span * 2 <= w:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    return np.minimum(x[: len(x) - (w - span)], x[w - span :]) if span < w else x
+
+
+def words_of(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the offset of each text's first word (one more at the end)."""
+    dark = ~SPACE[flat]
+    lead = dark.copy()
+    lead[1:] &= ~dark[:-1]
+    cut = offsets[(offsets > 0) & (offsets < len(flat))]
+    lead[cut] = dark[cut]
+    tail = dark.copy()
+    tail[:-1] &= ~dark[1:]
+    tail[cut - 1] = dark[cut - 1]
+    starts = np.flatnonzero(lead)
+    return starts, np.flatnonzero(tail) + 1, np.searchsorted(starts, offsets)
+
+
+def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    up, _ = powers(len(flat))
+    return mixed(span_hash(sums(flat.astype(np.uint64) + np.uint64(1)), starts, ends, up[starts]) + (ends - starts).astype(np.uint64))
+
+
+def anchors(values: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """Segments of texts given as unit values: text number, first window, number of windows, anchor's place from there, k-gram hash."""
+    none = np.zeros(0, dtype=np.int64)
+    if len(values) < window:
+        return none, none, none, none, none
+    prefix, n = sums(values), len(values) - k + 1
+    gram = mixed(span_hash(prefix, slice(0, n), slice(k, k + n), powers(n)[0]))
+    key = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    place = (sliding_min(key, window - k + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # windows that would run over the end of their text
+    first, last = np.maximum(offsets[:-1], offsets[1:] - window + 1), offsets[1:]
+    change = np.zeros(len(values) + 1, dtype=np.int32)
+    np.add.at(change, first, 1)
+    np.add.at(change, last, -1)
+    place[np.cumsum(change)[: len(place)] > 0] = -1
+    edge = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]))
+    start, count = edge[:-1], np.diff(edge)
+    good = place[start] >= 0
+    start, count = start[good], count[good]
+    text = np.searchsorted(offsets, start, side="right") - 1
+    at = place[start]
+    return text, start - offsets[text], count, at - start, gram[at].view(np.int64)
+
+
+def units(texts: pa.Array, by_word: bool) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Unit values of all texts, the offsets of the texts among them, and (bytes, word starts, word ends)."""
+    flat, offsets = joined_bytes(texts)
+    if not by_word:
+        return flat.astype(np.uint64) + np.uint64(1), offsets, (flat, None, None)
+    starts, ends, at = words_of(flat, offsets)
+    return word_hashes(flat, starts, ends), at, (flat, starts, ends)
+
+
+def _find(window: int, k: int, by_word: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                values, offsets, _ = units(part.column("text"), by_word)
+                text, start, count, at, gram = anchors(values, offsets, window, k)
+                k1, k2 = (part.column(c).to_numpy()[text] for c in ("k1", "k2"))
+                packed = start << 32 | count << 16 | at
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, k1, k2, packed)], ["gram", "k1", "k2", "packed"])
+
+    return run
+
+
+def _cut(window: int, k: int, by_word: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                values, offsets, (flat, starts, ends) = units(part.column("text"), by_word)
+                raw = flat.tobytes()
+                prefix = sums(values)
+                found: dict[tuple[int, int, bytes], list[int]] = {}
+                for row, (k1, k2, listed) in enumerate(zip(part.column("k1").to_pylist(), part.column("k2").to_pylist(), part.column("at").to_pylist())):
+                    zero, end = int(offsets[row]), int(offsets[row + 1])
+                    for x in {(a["gram"], a["packed"], a["width"]) for a in listed}:
+                        gram, packed, width = x
+                        start, count, at = zero + (packed >> 32), packed >> 16 & 0xFFFF, packed & 0xFFFF
+                        for band in range((at - count + 1) // width, at // width + 1):
+                            i, j = max(0, at - (band + 1) * width + 1), min(count, at - band * width + 1)
+                            a, b = start + i, start + j - 1 + window
+                            if b > end:
+                                continue
+                            group = gram
+                            if width < window:  # what all windows of the band have in common
+                                c, d = start + at - band * width, start + at - (band + 1) * width + 1 + window
+                                core = int(prefix[d] - prefix[c]) * pow(int(BASE), c, 2**64) % 2**64
+                                group = ((core * 0x9E3779B97F4A7C15) ^ (gram % 2**64) ^ band * 0x7FB5D329728EA185) % 2**64 - 2**63
+                            body = raw[a:b] if not by_word else b" ".join([raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())])
+                            found.setdefault((group, at - i, body), []).extend((k1, k2, a - zero))
+                held = list(found.items())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([g for (g, _, _), _ in held], pa.int64()),
+                        pa.array([at for (_, at, _), _ in held], pa.int32()),
+                        pa.array([b for (_, _, b), _ in held], pa.binary()),
+                        pa.array([o for _, o in held], pa.list_(pa.int64())),
+                    ],
+                    ["grp", "at", "body", "occ"],
+                )
+
+    return run
+
+
+def segments(docs: DataFrame, window: int, k: int, by_word: bool, bands: tuple = BANDS) -> tuple[DataFrame, DataFrame]:
+    """(texts by key, segments that may hold a repeated window).
+
+    The segments have grp long, at int (place of the anchor in the segment), body binary
+    (its bytes, or its words joined by one space) and occ, a flat list of k1, k2 and first unit
+    for each occurrence.
+    """
+    texts = keyed(docs)
+    found = written(texts.mapInArrow(_find(window, k, by_word), "gram long, k1 long, k2 long, packed long"), "anchors")
+    width = F.lit(1 << 16)
+    for count, band in bands:
+        width = F.when(F.col("n") > count, band).otherwise(width)
+    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", width.alias("width"))
+    listed = found.join(twice, "gram").groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "packed", "width")).alias("at"))
+    cut = texts.select("k1", "k2", "text").join(listed, ["k1", "k2"]).mapInArrow(_cut(window, k, by_word), "grp long, at int, body binary, occ array<long>")
+    return texts, cut
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of consecutive rows, cut only where ``key`` changes: rows must come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+        if held and keys[0] != held[-1].column(key)[-1].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def sorted_groups(cut: DataFrame) -> DataFrame:
+    """Segments dealt out and sorted by group, so that a task streams one group after another."""
+    return cut.repartition(F.col("grp")).sortWithinPartitions("grp")
+
+
+def finished(texts: DataFrame, spans: DataFrame, edit: Callable, schema: str) -> DataFrame:
+    """Each document with its spans (k1, k2, lo, hi: half-open unit ranges) through ``edit``, a function of a text as bytes and merged spans."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in schema.split(", ")]
+        for batch in batches:
+            rows = []
+            for doc_id, text, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lo", "hi"))):
+                rows.append((doc_id, *edit(text.encode(), merged(lo, hi))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
+
+    by_text = spans.groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    return texts.join(by_text, ["k1", "k2"], "left").select("doc_id", "text", "lo", "hi").mapInArrow(run, schema)
+
+
+def merged(lo: list[int] | None, hi: list[int] | None) -> list[tuple[int, int]]:
+    """Sorted, disjoint, not touching spans with the same union."""
+    out: list[list[int]] = []
+    for a, b in sorted(zip(lo or (), hi or ())):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
