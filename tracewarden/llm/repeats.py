@@ -192,9 +192,10 @@ def segments(docs: DataFrame, window: int, k: int, by_word: bool, bands: tuple =
     width = F.lit(1 << 16)
     for count, band in bands:
         width = F.when(F.col("n") > count, band).otherwise(width)
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", width.alias("width"))
+    # written, so that both sides of the join are dealt by it and adaptive execution may split hot k-grams
+    twice = written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", width.alias("width")), "twice")
     listed = found.join(twice, "gram").groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "packed", "width")).alias("at"))
-    cut = texts.select("k1", "k2", "text").join(listed, ["k1", "k2"]).mapInArrow(_cut(window, k, by_word), "grp long, at int, body binary, occ array<long>")
+    cut = texts.join(listed, ["k1", "k2"]).mapInArrow(_cut(window, k, by_word), "grp long, at int, body binary, occ array<long>")
     return texts, cut
 
 
@@ -223,7 +224,7 @@ def sorted_groups(cut: DataFrame) -> DataFrame:
 
 
 def finished(texts: DataFrame, spans: DataFrame, edit: Callable, schema: str) -> DataFrame:
-    """Each document with its spans (k1, k2, lo, hi: half-open unit ranges) through ``edit``, a function of a text as bytes and merged spans."""
+    """Each document with its spans (rows of ``SPANS``: half-open unit ranges) through ``edit``, a function of a text as bytes and merged spans."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +235,20 @@ def finished(texts: DataFrame, spans: DataFrame, edit: Callable, schema: str) ->
                 rows.append((doc_id, *edit(text.encode(), merged(lo, hi))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
-    by_text = spans.groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    by_text = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
     return texts.join(by_text, ["k1", "k2"], "left").select("doc_id", "text", "lo", "hi").mapInArrow(run, schema)
 
 
+SPANS = "k1 long, k2 long, lo array<long>, hi array<long>"
+
+
+def span_rows(spans: dict[tuple[int, int], list[tuple[int, int]]]) -> pa.RecordBatch:
+    """One row for each text with its spans, merged before they are shuffled."""
+    whole = [merged(*zip(*own)) for own in spans.values()]
+    lists = [pa.array([[x[i] for x in own] for own in whole], pa.list_(pa.int64())) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in spans], pa.int64()) for i in (0, 1)), *lists], ["k1", "k2", "lo", "hi"])
+
+
 def merged(lo: list[int] | None, hi: list[int] | None) -> list[tuple[int, int]]:
     """Sorted, disjoint, not touching spans with the same union."""
     out: list[list[int]] = []

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id in join keys; a null id never meets another id.
 NO_ID = -(2**63)
 #: Texts are worked on in slices of about so many bytes, whatever the batch size is.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -75,7 +75,7 @@ def repeated_spans(cut: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in repeats.groups(batches, "grp"):
-            out: list[tuple[int, int, int, int]] = []
+            out: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for rows in split_by_group(table):
                 members, occurrences = group_repeats(rows)
                 shard, texts = SuffixAutomaton(), []
@@ -83,18 +83,20 @@ def repeated_spans(cut: DataFrame, least: int) -> DataFrame:
                     texts.append((sorted(set(zip(occ[::3], occ[2::3], occ[1::3]))), body.split(b" ")))
                 texts.sort(key=lambda x: x[0][0])
                 for n, (places, words) in enumerate(texts):
-                    out += [(k1, k2, start, start + len(words)) for k1, start, k2 in places[1:]]
+                    for k1, start, k2 in places[1:]:
+                        out.setdefault((k1, k2), []).append((start, start + len(words)))
                     if n:
                         k1, start, k2 = places[0]
                         ends = [j for j, size in enumerate(shard.matches(words), 1) if size >= least]
-                        out += [(k1, k2, start + a, start + b) for a, b in repeats.merged([j - least for j in ends], ends)]
+                        if ends:
+                            out.setdefault((k1, k2), []).extend((start + a, start + b) for a, b in repeats.merged([j - least for j in ends], ends))
                     if n + 1 < len(texts):
                         for word in words:
                             shard.add(word)
                         shard.add(n)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["k1", "k2", "lo", "hi"])
+            yield repeats.span_rows(out)
 
-    return repeats.sorted_groups(cut).mapInArrow(run, "k1 long, k2 long, lo long, hi long")
+    return repeats.sorted_groups(cut).mapInArrow(run, repeats.SPANS)
 
 
 def _edit(text: bytes, spans: list[tuple[int, int]]) -> tuple:

@@ -84,7 +84,7 @@ def repeated_spans(cut: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in repeats.groups(batches, "grp"):
-            out: list[tuple[int, int, int, int]] = []
+            out: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for rows in split_by_group(table):
                 members, occurrences = group_repeats(rows)
                 spans: list[list[tuple[int, int]]] = [[(0, len(body))] if len(occ) > 3 else [] for (body, _), occ in zip(members, occurrences)]
@@ -94,10 +94,11 @@ def repeated_spans(cut: DataFrame, least: int) -> DataFrame:
                             spans[m].append((start, start + length))
                 for own, occ in zip(spans, occurrences):
                     for lo, hi in repeats.merged(*zip(*own)) if own else ():
-                        out += [(k1, k2, start + lo, start + hi) for k1, k2, start in zip(occ[::3], occ[1::3], occ[2::3])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["k1", "k2", "lo", "hi"])
+                        for k1, k2, start in zip(occ[::3], occ[1::3], occ[2::3]):
+                            out.setdefault((k1, k2), []).append((start + lo, start + hi))
+            yield repeats.span_rows(out)
 
-    return repeats.sorted_groups(cut).mapInArrow(run, "k1 long, k2 long, lo long, hi long")
+    return repeats.sorted_groups(cut).mapInArrow(run, repeats.SPANS)
 
 
 def repeat_groups(docs: DataFrame, least: int = 400, gram: int = GRAM) -> DataFrame:
