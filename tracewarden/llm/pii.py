@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracewarden.llm.bpe import texts_of
-from tracewarden.llm.shared import sliced
+from tracewarden.llm.shared import retext, sliced
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
@@ -159,5 +159,5 @@ def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and the text with all spans replaced by their kinds."""
-    return _mapped(docs, lambda text: (masked(text, find(text, threshold)),), "doc_id long, text string")
+    """``docs`` with all spans in the texts replaced by their kinds; all columns stay."""
+    return retext(docs, lambda text: masked(text, find(text, threshold)))

@@ -180,15 +180,15 @@ def _cut(window: int, k: int, by_word: bool) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def segments(docs: DataFrame, window: int, k: int, by_word: bool, bands: tuple = BANDS) -> tuple[DataFrame, DataFrame]:
+def segments(docs: DataFrame, window: int, k: int, by_word: bool, bands: tuple = BANDS, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """(texts by key, segments that may hold a repeated window).
 
     The segments have grp long, at int (place of the anchor in the segment), body binary
     (its bytes, or its words joined by one space) and occ, a flat list of k1, k2 and first unit
     for each occurrence.
     """
-    texts = keyed(docs)
-    found = written(texts.mapInArrow(_find(window, k, by_word), "gram long, k1 long, k2 long, packed long"), "anchors")
+    texts = keyed(docs, keep=keep)
+    found = written(texts.select("text", "k1", "k2").mapInArrow(_find(window, k, by_word), "gram long, k1 long, k2 long, packed long"), "anchors")
     width = F.lit(1 << 16)
     for count, band in bands:
         width = F.when(F.col("n") > count, band).otherwise(width)
@@ -235,8 +235,24 @@ def finished(texts: DataFrame, spans: DataFrame, edit: Callable, schema: str) ->
                 rows.append((doc_id, *edit(text.encode(), merged(lo, hi))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
+    return joined_spans(texts, spans).select("doc_id", "text", "lo", "hi").mapInArrow(run, schema)
+
+
+def replaced(texts: DataFrame, spans: DataFrame, edit: Callable[[bytes, list], str]) -> DataFrame:
+    """The rows from which ``texts`` was made (with keep) with each text edited by its spans; empty where it was null."""
+    kind = texts.select("rest", "text").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [edit(t.encode(), merged(lo, hi)) for t, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("text", "lo", "hi")))]
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(new, pa.string())], ["rest", "text"])
+
+    return joined_spans(texts, spans).select("rest", "text", "lo", "hi").mapInArrow(run, kind).select("rest.*", "text")
+
+
+def joined_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     by_text = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
-    return texts.join(by_text, ["k1", "k2"], "left").select("doc_id", "text", "lo", "hi").mapInArrow(run, schema)
+    return texts.join(by_text, ["k1", "k2"], "left")
 
 
 SPANS = "k1 long, k2 long, lo array<long>, hi array<long>"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,15 +49,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, k1, k2) of ``docs``; null texts become empty.
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """(doc_id, text, k1, k2) of ``docs``; null texts become empty. keep: also rest, a struct of all columns but the text.
 
     k1 is the id (``NO_ID`` for null) and k2 a hash of the text, so that rows which share an
     id but not a text stay apart in joins. Rows equal in both are one document given twice.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text")).select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), F.xxhash64("text").alias("k2")
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("rest")] if keep else []
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"), *rest).select(
+        "doc_id", "text", *(["rest"] if keep else []), F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), F.xxhash64("text").alias("k2")
     )
 
 
@@ -81,6 +82,18 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def retext(docs: DataFrame, change: Callable[[str], str]) -> DataFrame:
+    """``docs`` with ``change`` applied to each text that is not null; all columns stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                new = pa.array([None if t is None else change(t) for t in part.column("text").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([new if c == "text" else part.column(c) for c in part.schema.names], part.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b: long) reaches.
 

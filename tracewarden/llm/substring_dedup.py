@@ -109,8 +109,8 @@ def _edit(text: bytes, spans: list[tuple[int, int]]) -> tuple:
     return len(words), sum(b - a for a, b in spans), kept
 
 
-def spans_by_document(docs: DataFrame, least: int = 20, gram: int = GRAM, bands: tuple = repeats.BANDS) -> tuple[DataFrame, DataFrame]:
-    texts, cut = repeats.segments(docs, least, min(gram, least // 2), by_word=True, bands=bands)
+def spans_by_document(docs: DataFrame, least: int = 20, gram: int = GRAM, bands: tuple = repeats.BANDS, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    texts, cut = repeats.segments(docs, least, min(gram, least // 2), by_word=True, bands=bands, keep=keep)
     return texts, repeated_spans(cut, least)
 
 
@@ -125,9 +125,6 @@ def digests(docs: DataFrame, least: int = 20, **how) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, least: int = 20, **how) -> DataFrame:
-    """doc_id and the kept words of each document, joined by one space."""
-
-    def edit(text: bytes, spans: list[tuple[int, int]]) -> tuple:
-        return (b" ".join(_edit(text, spans)[2]).decode(),)
-
-    return repeats.finished(*spans_by_document(docs, least, **how), edit, "doc_id long, text string")
+    """``docs`` with the kept words of each text, joined by one space. All columns stay."""
+    texts, spans = spans_by_document(docs, least, keep=True, **how)
+    return repeats.replaced(texts, spans, lambda text, own: b" ".join(_edit(text, own)[2]).decode()).select(docs.columns)

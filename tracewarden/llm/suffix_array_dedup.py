@@ -136,9 +136,9 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def spans_by_document(docs: DataFrame, least: int = 400, gram: int = GRAM, bands: tuple = repeats.BANDS) -> tuple[DataFrame, DataFrame]:
+def spans_by_document(docs: DataFrame, least: int = 400, gram: int = GRAM, bands: tuple = repeats.BANDS, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """(texts by key, spans by key) for ``repeats.finished``."""
-    texts, cut = repeats.segments(docs, least, min(gram, least // 2), by_word=False, bands=bands)
+    texts, cut = repeats.segments(docs, least, min(gram, least // 2), by_word=False, bands=bands, keep=keep)
     return texts, repeated_spans(cut, least)
 
 
@@ -152,9 +152,6 @@ def digests(docs: DataFrame, least: int = 400, **how) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, least: int = 400, **how) -> DataFrame:
-    """doc_id and the text that is left; a character that a span cuts through goes whole."""
-
-    def edit(text: bytes, spans: list[tuple[int, int]]) -> tuple:
-        return (_kept(text, spans).decode(errors="ignore"),)
-
-    return repeats.finished(*spans_by_document(docs, least, **how), edit, "doc_id long, text string")
+    """``docs`` with what is left of each text; a character that a span cuts through goes whole. All columns stay."""
+    texts, spans = spans_by_document(docs, least, keep=True, **how)
+    return repeats.replaced(texts, spans, lambda text, own: _kept(text, own).decode(errors="ignore")).select(docs.columns)
