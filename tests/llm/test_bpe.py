@@ -25,6 +25,7 @@ def ours(text):
 def test_odd(text):
     ids = library.encode(text or "", add_special_tokens=False).ids
     assert ours(text) == ids and own.decoded(ids) == library.decode(ids, skip_special_tokens=False)
+    assert next(own.encoded_by_rank([text or ""])) == next(own.encoded([text or ""]))
 
 
 @settings(max_examples=400, deadline=None)
@@ -35,6 +36,19 @@ def test_any_text(text):
     assert ours(text) == ids and own.decoded(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="aB1.' \n\t\x1c\x85\u2003é", max_size=14))
+def test_white_space(text):
+    assert ours(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_white_space_class():
+    import regex
+
+    space = {chr(c) for c in range(0x110000) if regex.match(r"\p{White_Space}", chr(c))}
+    assert space == {chr(c) for c in range(0x110000) if bpe.DOUBLE.match(chr(c) * 2)}
+
+
 def test_token_soup():
     r = random.Random(1)
     tokens = [b.decode(errors="ignore") for b in own.ids]
@@ -45,6 +59,7 @@ def test_token_soup():
 
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in own.encoded(texts)] == expected
     assert 0 < own.n_exact < own.n_words
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in own.encoded_by_rank(texts, longest=40)] == expected
 
 
 def test_tables(spark):

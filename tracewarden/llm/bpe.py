@@ -16,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +31,10 @@ from tracewarden.llm.shared import sliced
 #: Fixed by the vocabulary's kind: how text is cut into words before merging.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Words kept by a worker, and the longest that are kept.
-CACHE, CACHE_LENGTH = 400_000, 64
+CACHE, CACHE_LENGTH = 600_000, 64
+NEVER = 1 << 60
+# white space as the pattern has it: without the four separators that str.isspace adds
+DOUBLE, DOUBLE_RUN = re.compile(r"[^\S\x1c-\x1f]{2}"), re.compile(r"([^\S\x1c-\x1f]{2,})")
 _loaded: dict[str, "WordCoder"] = {}
 
 
@@ -41,6 +46,7 @@ def byte_letters() -> dict[str, int]:
 
 
 def coder(path: str) -> "WordCoder":
+    """The coder of a vocabulary, one per worker."""
     if path not in _loaded:
         _loaded[path] = WordCoder(path)
     return _loaded[path]
@@ -75,9 +81,14 @@ class WordCoder:
         keys = np.array([x << 32 | y for x, y in self.merge], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array([r for r, _ in self.merge.values()], dtype=np.int64)[order]
+        self.rank = {x << 32 | y: r for (x, y), (r, _) in self.merge.items()}
+        self.made = {r: new for r, new in self.merge.values()}
         self.proposals = {b: i for b, i in self.ids.items() if len(b) == 1 or self.age[i] and self.exact(b) == [i]}
         self.longest = max(map(len, self.proposals))
+        self.ranked = None
+        self.words: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
         self.n_exact = self.n_words = 0
 
     def exact(self, word: bytes) -> list[int]:
@@ -104,6 +115,24 @@ class WordCoder:
                 heapq.heappush(heap, (merge[new][0], h, new))
         return [x for x in ids if x >= 0]
 
+    def exact_short(self, word: bytes) -> list[int]:
+        """The same for short words: looks for the first of the earliest merges in a list of ranks."""
+        ids = [self.base[b] for b in word]
+        rank = self.rank.get
+        ranks = [rank(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == NEVER:
+                break
+            i = ranks.index(least)
+            ids[i : i + 2] = [self.made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 32 | ids[i + 1], NEVER)
+        return ids
+
     def propose(self, word: bytes) -> list[int]:
         known, n, at, out = self.proposals, len(word), 0, []
         while at < n:
@@ -159,23 +188,103 @@ class WordCoder:
         self.n_words += len(words)
         self.n_exact += len(failing)
         for n, (word, ids) in enumerate(zip(words, proposed)):
-            self.cache[word] = np.array(self.exact(word.encode()) if n in failing else ids, dtype="<u4").tobytes()
+            raw = word.encode()
+            self.words[word] = array("I", (self.exact_short(raw) if len(raw) < 48 else self.exact(raw)) if n in failing else ids).tobytes()
+
+    def pieces(self, text: str) -> tuple[list[list[str]], list[tuple[str, ...]]]:
+        """Lines of a text, each cut at single spaces, and what is left as words of their own.
+
+        A word of the pattern starts at every single space between visible characters, and a
+        single line feed between them is a word; so the parts between can be cut, and kept,
+        one by one. Returns runs of parts and the words that stand between the runs.
+        """
+        if not DOUBLE.search(text):
+            lines = text.split("\n")
+            return [x.split(" ") for x in lines], [("\n",)] * (len(lines) - 1)
+        runs, between = [], []
+        rest = DOUBLE_RUN.split(text)
+        lead = ""
+        for n, part in enumerate(rest):
+            if n % 2:
+                if n + 2 == len(rest) and not rest[-1]:
+                    between.append((part,))
+                    lead = ""
+                    runs.append([""])
+                    return runs, between
+                lead = part[-1]
+                between.append((part[:-1],) if lead == " " else (part[:-1], lead))
+            else:
+                lines = part.split("\n")
+                runs += [x.split(" ") for x in lines]
+                if lead == " ":
+                    runs[-len(lines)].insert(0, "")
+                between += [("\n",)] * (len(lines) - 1)
+        return runs, between
 
     def encoded(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         cut = [[x for x in self.split_added.split(t) if x] if self.split_added and any(s in t for s in self.added) else [t] for t in texts]
-        words = [[[x] if x in self.added else WORD.findall(x) for x in parts] for parts in cut]
-        new = {w for parts in words for run in parts for w in run}
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-        self.learn(w for w in new if w not in self.cache and w not in self.added)
-        for s, i in self.added.items():
-            self.cache[s] = np.array([i], dtype="<u4").tobytes()
-        for parts in words:
-            yield b"".join([self.cache[w] for run in parts for w in run])
-        for w in new:
-            if len(w) > CACHE_LENGTH:
-                self.cache.pop(w, None)
+        known, spaced = self.cache, self.spaced
+        plans, first, later = [], set(), set()
+        for parts in cut:
+            plan = []
+            for x in parts:
+                if x in self.added:
+                    plan.append(x)
+                else:
+                    runs, between = self.pieces(x)
+                    for run in runs:
+                        first.add(run[0])
+                        later.update(run)
+                    for words in between:
+                        first.update(words)
+                    plan.append((runs, between))
+            plans.append(plan)
+        if len(known) + len(spaced) + len(first) + len(later) > CACHE:
+            known.clear()
+            spaced.clear()
+        first = [x for x in first if x not in known]
+        later = [x for x in later if x not in spaced]
+        words = [[*map(WORD.findall, first)], [WORD.findall(" " + x) for x in later]]
+        if len(self.words) > CACHE:
+            self.words.clear()
+        self.learn({w for part in words for run in part for w in run}.difference(self.words))
+        get = self.words.__getitem__
+        for to, names, part in ((known, first, words[0]), (spaced, later, words[1])):
+            for x, run in zip(names, part):
+                to[x] = b"".join(map(get, run))
+        get, get_spaced = known.__getitem__, spaced.__getitem__
+        for plan in plans:
+            out = []
+            for x in plan:
+                if isinstance(x, str):
+                    out.append(self.added[x].to_bytes(4, "little"))
+                    continue
+                runs, between = x
+                for run, words in zip(runs, [*between, ()]):
+                    out.append(get(run[0]))
+                    out += map(get_spaced, run[1:])
+                    out += map(get, words)
+            yield b"".join(out)
+        for to in (known, spaced, self.words):
+            for x in [x for x in (*first, *later) if len(x) > CACHE_LENGTH]:
+                to.pop(x, None)
+
+    def encoded_by_rank(self, texts: list[str], longest: int = 100_000) -> Iterator[bytes]:
+        """The same ids from a compiled coder that merges by rank, for callers that need ids only.
+
+        Longer texts go through ``encoded``, whose work is linear in runs without spaces.
+        """
+        if self.ranked is None:
+            import tiktoken
+
+            pattern = WORD.pattern.replace(r"\P{White_Space}", r"\S").replace(r"[^\p{White_Space}", r"[^\s").replace(r"\p{White_Space}", r"\s")
+            self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ids, special_tokens={}).encode_ordinary
+        for text in texts:
+            if len(text) > longest or any(s in text for s in self.added):
+                yield next(self.encoded([text]))
+            else:
+                yield array("I", self.ranked(text)).tobytes()
 
     def decoded(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode(errors="replace")

@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = 1024, end: int
         for batch in batches:
             for part in sliced(batch):
                 rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.encoded(part.column("text").to_pylist())):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.encoded_by_rank(part.column("text").to_pylist())):
                     ids += last
                     n = len(ids) // 4
                     first = (n - 1) % size + 1
