@@ -1,4 +1,4 @@
 """The queries of the engine, by theme."""
 
-from tracewarden.plans import features  # noqa: F401
+from tracewarden.plans import episodes, features, graphs  # noqa: F401
 from tracewarden.plans.registry import QUERIES, SQL  # noqa: F401
