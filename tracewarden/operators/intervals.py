@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tracewarden.functions.scalars import dice
 
@@ -27,7 +28,7 @@ def union_segments(df: DataFrame, by: list[str], start: str, end: str, touch: bo
     w = Window.partitionBy(*by).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     apart = (F.col(start) > before) if touch else (F.col(start) >= before)
-    marked = df.withColumn("__new", F.when(before.isNull() | apart, 1).otherwise(0)).withColumn("__seg", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = df.withColumn("__new", F.when(before.isNull() | apart, 1).otherwise(0)).withColumn("__seg", F.sum("__new").over(w))  # equal intervals count together, in whatever order they come
     return marked.groupBy(*by, "__seg").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__seg")
 
 
@@ -175,7 +176,7 @@ def gap_span_clusters(df: DataFrame, by: list[str], at: str, tie: str, gap: floa
                 out.append(number)
             yield rows.assign(cluster=out)
 
-    schema = df.schema.add("cluster", "long")
+    schema = StructType([*df.schema.fields, StructField("cluster", LongType())])
     return df.repartition(*by).sortWithinPartitions(*by, at, tie).mapInPandas(run, schema)
 
 

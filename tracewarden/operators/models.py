@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def _tree(x: np.ndarray, r: np.random.Generator, depth: int, limit: int) -> tuple:
@@ -141,5 +142,5 @@ def online_memory(df: DataFrame, by: list[str], order: str, vector: str, tau: fl
         out["template"], out["hits"] = which, hits
         return out
 
-    schema = df.select(*by, order).schema.add("template", "long").add("hits", "long")
+    schema = StructType([*df.select(*by, order).schema.fields, StructField("template", LongType()), StructField("hits", LongType())])
     return df.select(*by, order, vector).groupBy(*by).applyInPandas(fold, schema)

@@ -172,12 +172,12 @@ def rca_features(spark, d):
     return g.select("id", F.round("m", 6).alias("m"), "mx", "mn", F.round("p95", 6).alias("p95"), F.round("sd", 6).alias("sd"), "n", "n_error", "n_view")
 
 
-DAYS = f"{EVENTS}, dw AS (SELECT user_id, event_type, us, event_id, value, us // {24 * HOUR} >= 19743 + 20 AS inside FROM ev)"
+DAYS = f"{EVENTS}, dw AS (SELECT user_id, event_type, us, event_id, value, us // {24 * HOUR} >= 19743 AS inside FROM ev)"
 
 
 def windowed(spark, d) -> DataFrame:
     """Events with whether they are in the incident window, the days from the 21st on."""
-    return events(spark, d).withColumn("inside", F.floor(F.col("us") / (24 * HOUR)) >= 19743 + 20)
+    return events(spark, d).withColumn("inside", F.floor(F.col("us") / (24 * HOUR)) >= 19743)
 
 
 @query(f"""WITH {DAYS}, b AS (SELECT event_type, quantile_cont(value, 0.5) AS bm, quantile_cont(value, 0.95) AS bp, count(*) AS n_base FROM dw WHERE NOT inside GROUP BY 1), s AS (SELECT event_type, quantile_cont(abs(value - bm), 0.5) AS mad FROM dw JOIN b USING (event_type) WHERE NOT inside GROUP BY 1),
@@ -242,11 +242,11 @@ def cross_region_consistency(spark, d):
 DAILY = f"{EVENTS}, dy AS (SELECT user_id % 10 AS grp, us // {24 * HOUR} AS day, avg(value) AS x, count(*)::DOUBLE AS y FROM ev GROUP BY 1, 2)"
 
 
-@query(f"""WITH {DAILY}, p AS (SELECT a.grp, b.day - a.day AS lag, a.x, b.y FROM dy a JOIN dy b ON a.grp = b.grp AND b.day - a.day BETWEEN 0 AND 5 WHERE b.day < 19763), c AS (SELECT grp, lag, count(*) AS n, corr(x, y) AS r, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM p GROUP BY 1, 2)
+@query(f"""WITH {DAILY}, p AS (SELECT a.grp, b.day - a.day AS lag, a.x, b.y FROM dy a JOIN dy b ON a.grp = b.grp AND b.day - a.day BETWEEN 0 AND 5 WHERE b.day < 19743), c AS (SELECT grp, lag, count(*) AS n, corr(x, y) AS r, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM p GROUP BY 1, 2)
 SELECT grp, lag::INTEGER AS lag, n, round(r, 5) AS r, round(slope, 5) AS slope, round(intercept, 4) AS intercept FROM c WHERE n >= 3 AND r IS NOT NULL AND NOT isnan(r) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round(abs(r), 9) DESC, lag) = 1""")
 def lagged_regression(spark, d):
     dy = events(spark, d).groupBy((F.col("user_id") % 10).alias("grp"), F.floor(F.col("us") / (24 * HOUR)).alias("day")).agg(F.avg("value").alias("x"), F.count("*").cast("double").alias("y"))
-    best = stats.lagged_regression(dy, ["grp"], "day", "x", "y", 5, F.col("day") < 19763)
+    best = stats.lagged_regression(dy, ["grp"], "day", "x", "y", 5, F.col("day") < 19743)
     return best.select("grp", "lag", "n", F.round("r", 5).alias("r"), F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
