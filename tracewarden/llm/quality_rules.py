@@ -28,63 +28,58 @@ LEAST_WORDS, WINDOW, REPEAT_PERCENT = 50, 3, 50
 HOST_LIMIT = 0.5
 
 
-def _window_hashes(words: Column) -> Column:
-    """A hash of the three words at every place where a window starts."""
-    one = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(words)
-    pair = F.zip_with(one, F.slice(one, F.lit(2), F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    three = F.zip_with(pair, F.slice(one, F.lit(3), F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    return F.slice(three, F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(0)))
+WHITE = " \t\n\x0b\f\r"
+
+
+def _pairs(a: Column, b: Column, by: int) -> Column:
+    """Hashes of each element of ``a`` with the one of ``b`` that is ``by`` places later; longer by ``by`` than it should be."""
+    return F.zip_with(a, F.slice(b, F.lit(by + 1), F.greatest(F.size(b), F.lit(1))), lambda x, y: F.xxhash64(x, y))
 
 
 def figures(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host and the rules' figures of each document."""
+    """doc_id, host and the rules' figures of each document.
+
+    Each select makes one array that later ones read more than once, so none is made twice.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{host}`").cast("string").alias("host"), text.alias("text"))
+    plain = F.col("text")
+    for symbol in SYMBOLS:
+        plain = F.replace(plain, F.lit(symbol), F.lit(""))
     words = base.select(
         "doc_id",
         "host",
-        F.filter(F.split("text", SPACES), lambda w: w != "").alias("words"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0).alias("lines"),
+        F.array_remove(F.split("text", SPACES), "").alias("words"),
+        (F.length("text") - F.length(plain)).cast("long").alias("n_symbols"),
+        F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "").alias("lines"),
     )
     hashed = words.select(
         "doc_id",
         "host",
         F.size("words").cast("long").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _window_hashes(F.col("words")).alias("windows"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("one"),
     )
-    ordered = hashed.withColumn("sorted", F.array_sort("windows"))
-    repeated = ordered.withColumn(
-        "twice",
-        F.array_distinct(
-            F.filter(
-                F.zip_with("sorted", F.slice("sorted", F.lit(2), F.greatest(F.size("sorted"), F.lit(1))), lambda a, b: F.when(a == b, a)),
-                lambda x: x.isNotNull(),
-            )
-        ),
-    ).drop("sorted")
-    return repeated.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered().alias("n_repeat_words"))
+    names = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    n = F.greatest(F.size("one") - (WINDOW - 1), F.lit(0))
+    windows = hashed.select(*names, F.slice(_pairs(_pairs(F.col("one"), F.col("one"), 1), F.col("one"), 2), F.lit(1), n).alias("windows"))
+    return windows.select(*names, F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0).cast("long")).otherwise(_covered()).alias("n_repeat_words"))
 
 
 def _covered() -> Column:
     """Words in windows found twice: sorted by hash, windows equal to a neighbour keep their place; each place covers up to the next one."""
-    placed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array(F.lit(None).cast("struct<h: bigint, i: int>"))
-    pairs = F.zip_with(F.concat(none, placed), F.concat(placed, none), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    equal = F.filter(pairs, lambda p: p["a"]["h"] == p["b"]["h"])
-    places = F.array_sort(F.array_distinct(F.flatten(F.transform(equal, lambda p: F.array(p["a"]["i"], p["b"]["i"])))))
-    gaps = F.aggregate(
+    pairs = F.zip_with(F.concat(none, placed), placed, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    places = F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
+    return F.aggregate(
         places,
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n")),
         lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n")),
         lambda s: s["n"],
     )
-    return F.when(F.size("twice") == 0, F.lit(0).cast("long")).otherwise(gaps)
 
 
 def host_verdicts(failures: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
