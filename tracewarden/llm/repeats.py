@@ -188,7 +188,7 @@ def segments(docs: DataFrame, window: int, k: int, by_word: bool, bands: tuple =
     for each occurrence.
     """
     texts = keyed(docs, keep=keep)
-    found = written(texts.select("text", "k1", "k2").mapInArrow(_find(window, k, by_word), "gram long, k1 long, k2 long, packed long"), "anchors")
+    found = texts.select("text", "k1", "k2").mapInArrow(_find(window, k, by_word), "gram long, k1 long, k2 long, packed long")  # read twice: made anew rather than kept on disk
     width = F.lit(1 << 16)
     for count, band in bands:
         width = F.when(F.col("n") > count, band).otherwise(width)
