@@ -61,7 +61,7 @@ def proxy_score(spark, d):
     return x.select("n", "hits", F.round(F.col("s") / F.col("nt") * 40 * (0.7 + 0.3 * F.col("hits") / F.col("np")), 5).alias("score"))
 
 
-@query(f"{BEST} SELECT tu.grp, count(*) AS n, count(DISTINCT bb.t) AS covered FROM tu LEFT JOIN bb ON bb.t = tu.id AND dice >= 0.4 GROUP BY 1")
+@query(f"{BEST} SELECT tu.grp, count(DISTINCT tu.id) AS n, count(DISTINCT bb.t) AS covered FROM tu LEFT JOIN bb ON bb.t = tu.id AND dice >= 0.4 GROUP BY 1")
 def coverage_rate(spark, d):
     good = matched(spark, d).where("dice >= 0.4").select(F.col("t").alias("id")).distinct().withColumn("hit", F.lit(1))
     return truth(spark, d).join(good, "id", "left").groupBy("grp").agg(F.count("*").alias("n"), F.count("hit").alias("covered"))
