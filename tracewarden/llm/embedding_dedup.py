@@ -131,3 +131,14 @@ def join(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, par
     one = good.select("vec_id", "label", "h1", "h2").join(result, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return one.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def oracle_sql(cosine: float = COSINE) -> str:
+    """The same as DuckDB SQL, over all pairs of a label."""
+    return f"""
+    WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    g AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM g x JOIN g y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_dot_product(x.e, y.e) / (x.n * y.n) >= {cosine}),
+    r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b),
+    c AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1), k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+    SELECT v.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, component_id, component_id = v.vec_id AS kept FROM v JOIN c ON c.node = v.vec_id LEFT JOIN k ON k.a = v.vec_id"""

@@ -107,3 +107,22 @@ def verdicts(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -
     hosts = host_verdicts(own, limit)
     joined = own.join(hosts, own["host"].eqNullSafe(hosts["host"]), "left").drop(hosts["host"])
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), F.round("host_rate", 6).alias("host_rate"))
+
+
+def oracle_sql(limit: float = HOST_LIMIT) -> str:
+    """The same as DuckDB SQL."""
+    return rf"""
+    WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+    g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+    r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+    cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY 1),
+    f AS (SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+      (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
+    b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM f),
+    h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS bad FROM b GROUP BY 1),
+    m AS (SELECT sum(bad) / sum(n) AS mean, coalesce(var_samp(bad / n), 0) AS v, avg(1 / n) AS noise FROM h),
+    pr AS (SELECT mean, greatest(1.0::DOUBLE, least(1000.0::DOUBLE, mean * (1 - mean) / greatest(1e-9::DOUBLE, v - mean * (1 - mean) * noise) - 1)) AS k FROM m),
+    s AS (SELECT source, (bad + mean * k) / (n + k) AS rate FROM h, pr)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rate > {limit} AS kept, round(rate, 6) AS host_rate
+    FROM b JOIN s ON b.source IS NOT DISTINCT FROM s.source"""

@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_scan.oracle_sql()}
+    return {"op2_embedding_dedup": embedding_dedup.oracle_sql(), "op6_license_scan": license_scan.oracle_sql(), "op8_quality_rules": quality_rules.oracle_sql()}
