@@ -80,10 +80,10 @@ def incident_affinity_edges(spark, d):
     return affinity_edges(spark, d).select("x", "y", F.round("w", 6).alias("affinity"))
 
 
-@query(f"""WITH RECURSIVE {INCIDENTS}, {AFFINITY}, e2 AS (SELECT x AS s, y AS t FROM ed WHERE w >= 0.65 UNION SELECT y, x FROM ed WHERE w >= 0.65), r AS (SELECT s AS node, s AS root FROM e2 UNION SELECT e2.t, r.root FROM r JOIN e2 ON e2.s = r.node WHERE r.root < e2.t)
+@query(f"""WITH RECURSIVE {INCIDENTS}, {AFFINITY}, e2 AS (SELECT x AS s, y AS t FROM ed WHERE w >= 0.60 UNION SELECT y, x FROM ed WHERE w >= 0.60), r AS (SELECT s AS node, s AS root FROM e2 UNION SELECT e2.t, r.root FROM r JOIN e2 ON e2.s = r.node WHERE r.root < e2.t)
 SELECT node, min(root) AS component FROM r GROUP BY 1""")
 def incident_components(spark, d):
-    edges = affinity_edges(spark, d, 0.65).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    edges = affinity_edges(spark, d, 0.60).select(F.col("x").alias("src"), F.col("y").alias("dst"))
     return graph.components(edges).select("node", "component")
 
 
