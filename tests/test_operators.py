@@ -163,3 +163,21 @@ def test_toolbox(spark):
     assert box.call_tool("get_incident_candidates", {"incident": "i"}).first().element == "a"
     with pytest.raises(ValueError):
         box.call_tool("drop_everything")
+
+
+def test_vector_search_covers_the_stated_queries(spark, data_dir):
+    from tracewarden import plans
+
+    rows = spark.read.parquet(f"{data_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids = np.array([r.vec_id for r in rows])
+    x = np.array([r.embedding for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in plans.QUERIES["vector_topk_cosine_whole"](spark, data_dir).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {int(q): ids[np.lexsort((ids, -np.round(x @ x[i], 12)))[:6]].tolist() for i, q in enumerate(ids) if q % 20 == 0}
+    v = spark.createDataFrame([(int(i), x[n].tolist()) for n, i in enumerate(ids)], "vec_id long, vector array<double>")
+    stated = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    for block in (1, 7):
+        small = models.vector_top_k(stated.where("query_id < 200"), v, 6, block=block).orderBy("query_id", "rank").collect()
+        assert [r.vec_id for r in small] == [j for q in sorted(got) if q < 200 for j in got[q]]

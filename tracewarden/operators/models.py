@@ -84,38 +84,63 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, least: float = -1.0, block: int = 1024) -> DataFrame:
+def _best(query: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, id, sim) triples the ``k`` best of each query, ties by id."""
+    order = np.lexsort((ids, -np.round(sim, 12), query))
+    query, ids, sim = query[order], ids[order], sim[order]
+    firsts = np.flatnonzero(np.diff(query, prepend=-1))
+    keep = np.arange(len(query)) - np.repeat(firsts, np.diff([*firsts, len(query)])) < k
+    return query[keep], ids[keep], sim[keep]
+
+
+def _unit(vectors) -> np.ndarray:
+    v = np.array(list(vectors), dtype=float)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, least: float = -1.0, block: int = 16_384, number: str | None = None, share: float = 0.7) -> DataFrame:
     """(query_id, vec_id, sim, rank): the ``k`` nearest rows of ``corpus`` (vec_id, vector) by cosine for each stated query (query_id, vector).
 
-    Queries go out in blocks of fixed size; each corpus partition gives its own ``k`` best for each query,
-    so what is shuffled is queries x k x partitions.
+    Queries go out in blocks of fixed size, of which the driver holds one; each corpus partition gives
+    its own ``k`` best for each query, so what is shuffled is queries x k x partitions. With ``number``,
+    a column of both sides, sim is ``share`` of the cosine and the rest of exp(-|difference of numbers|).
     """
-    parts = queries.select("query_id", "vector").orderBy("query_id").collect()
-    out = None
-    for a in range(0, max(1, len(parts)), block):
-        own = parts[a : a + block]
-        held = queries.sparkSession.sparkContext.broadcast(([q.query_id for q in own], np.array([q.vector for q in own], dtype=float)))
-
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, q = held.value
-            best: list[pd.DataFrame] = []
-            if not len(ids):
-                return
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    extra = [number] if number else []
+
+    def found_in(own: list) -> DataFrame:
+        held = queries.sparkSession.sparkContext.broadcast((np.array([q[0] for q in own], dtype=np.int64), _unit(q[1] for q in own), np.array([q[2] for q in own], dtype=float) if number else None))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q, numbers = held.value
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             for rows in batches:
                 if not len(rows):
                     continue
-                v = np.array(rows["vector"].tolist(), dtype=float)
-                sim = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-                own_id = rows["vec_id"].to_numpy()
-                for i, query in enumerate(ids):
-                    order = np.lexsort((own_id, -np.round(sim[i], 12)))[:k]
-                    best.append(pd.DataFrame({"query_id": query, "vec_id": own_id[order], "sim": sim[i][order]}))
-            if best:
-                yield pd.concat(best)
-
-        found = corpus.select("vec_id", "vector").mapInPandas(run, "query_id long, vec_id long, sim double")
-        out = found if out is None else out.unionAll(found)
+                v, own_id = _unit(rows["vector"]), rows["vec_id"].to_numpy()
+                fresh = [best]
+                for a in range(0, len(ids), 256):
+                    sim = q[a : a + 256] @ v.T
+                    if number:
+                        sim = share * sim + (1 - share) * np.exp(-np.abs(numbers[a : a + 256, None] - rows[number].to_numpy(float)[None, :]))
+                    near = np.round(sim, 12)
+                    edge = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
+                    i, j = np.nonzero(near >= edge[:, None])
+                    fresh.append(_best(i + a, own_id[j], sim[i, j], k))
+                best = _best(*(np.concatenate(x) for x in zip(*fresh)), k)
+            if len(best[0]):
+                yield pd.DataFrame({"query_id": ids[best[0]], "vec_id": best[1], "sim": best[2]})
+
+        return corpus.select("vec_id", "vector", *extra).mapInPandas(run, "query_id long, vec_id long, sim double")
+
+    out, own = None, []
+    for row in queries.select("query_id", "vector", *extra).orderBy("query_id").toLocalIterator():
+        own.append(row)
+        if len(own) == block:
+            out, own = found_in(own) if out is None else out.unionAll(found_in(own)), []
+    if own:
+        out = found_in(own) if out is None else out.unionAll(found_in(own))
+    if out is None:
+        out = queries.sparkSession.createDataFrame([], "query_id long, vec_id long, sim double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 12)), "vec_id"))
     return out.where(F.col("sim") >= least).withColumn("rank", rank).where(F.col("rank") <= k)
 

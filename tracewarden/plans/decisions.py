@@ -142,6 +142,17 @@ def vector_topk_cosine(spark, d):
     return models.vector_top_k(queries, v, 6).select("query_id", "vec_id", F.round("sim", 5).alias("sim"), "rank")
 
 
+#: The queries of the whole search: every row whose id is divisible by 20.
+STATED = "vec_id % 20 = 0"
+
+
+@query(f"WITH p AS (SELECT x.vec_id AS query_id, y.vec_id, {COS} AS sim FROM embeddings x, embeddings y WHERE x.{STATED}) SELECT query_id, vec_id, round(sim, 5) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id)::INTEGER AS rank FROM p QUALIFY rank <= 6")
+def vector_topk_cosine_whole(spark, d):
+    """``vector_topk_cosine`` for the whole stated query set."""
+    v = table(spark, d, "embeddings", "vec_id", "embedding").withColumnRenamed("embedding", "vector")
+    return models.vector_top_k(v.where(STATED).withColumnRenamed("vec_id", "query_id"), v, 6).select("query_id", "vec_id", F.round("sim", 5).alias("sim"), "rank")
+
+
 @query(f"SELECT x.vec_id AS a, y.vec_id AS b, round(0.7 * ({COS}) + 0.3 * exp(-abs(len(x.embedding) - len(y.embedding)) - abs(x.label - y.label)), 5) AS sim FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1")
 def hybrid_similarity(spark, d):
     v = table(spark, d, "embeddings", "vec_id", "embedding", "label")
