@@ -181,3 +181,36 @@ def test_vector_search_covers_the_stated_queries(spark, data_dir):
     for block in (1, 7):
         small = models.vector_top_k(stated.where("query_id < 200"), v, 6, block=block).orderBy("query_id", "rank").collect()
         assert [r.vec_id for r in small] == [j for q in sorted(got) if q < 200 for j in got[q]]
+
+
+def _memory(rows, tau):
+    templates, counts, out = [], [], []
+    for i, x in sorted(rows):
+        x = np.array(x) / max(np.linalg.norm(x), 1e-300)
+        sims = np.round(np.array([t @ x for t in templates]), 12)
+        j = int(sims.argmax()) if len(sims) and sims.max() >= tau else len(templates)
+        if j == len(templates):
+            templates.append(x)
+            counts.append(0)
+        counts[j] += 1
+        out.append((i, j, counts[j]))
+    return out
+
+
+@pytest.mark.parametrize("block", [16_384, 300])
+def test_one_memory_is_shared_by_all_rows(spark, block):
+    r = np.random.default_rng(5)
+    rows = [(7 * i, r.normal(0, 1, 6).tolist()) for i in range(2500)] + [(3, [0.0] * 6), (17501, [0.0] * 6)]
+    rows += [(20000 + i, rows[5][1]) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(5)
+    got = sorted((x.vec_id, x.template, x.hits) for x in models.one_memory(v, "vec_id", "vector", 0.9, block).collect())
+    assert got == _memory(rows, 0.9) and len({x[1] for x in got}) < 2000
+    assert models.one_memory(v.limit(0), "vec_id", "vector", 0.9).count() == 0
+
+
+def test_online_memory_matches_across_ids_and_labels(spark, data_dir):
+    from tracewarden import plans
+
+    rows = [(r.vec_id, list(map(float, r.embedding))) for r in spark.read.parquet(f"{data_dir}/embeddings.parquet").collect()]
+    got = sorted((x.vec_id, x.template, x.hits) for x in plans.QUERIES["online_memory"](spark, data_dir).collect())
+    assert got == _memory(rows, 0.5)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tracewarden.session import settled
+
 
 def _tree(x: np.ndarray, r: np.random.Generator, depth: int, limit: int) -> tuple:
     spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) else np.zeros(0, int)
@@ -169,3 +171,96 @@ def online_memory(df: DataFrame, by: list[str], order: str, vector: str, tau: fl
 
     schema = StructType([*df.select(*by, order).schema.fields, StructField("template", LongType()), StructField("hits", LongType())])
     return df.select(*by, order, vector).groupBy(*by).applyInPandas(fold, schema)
+
+
+def _new_templates(x: np.ndarray, tau: float, step: int = 512) -> np.ndarray:
+    """The places of the rows of ``x``, in order, that are not as near as ``tau`` to an earlier such row."""
+    kept, n, out = np.empty_like(x), 0, []
+    for a in range(0, len(x), step):
+        rows = x[a : a + step]
+        open_ = np.ones(len(rows), dtype=bool)
+        for b in range(0, n, 4096):
+            open_ &= np.round(rows @ kept[b : min(b + 4096, n)].T, 12).max(axis=1) < tau
+        near = np.round(rows @ rows.T, 12) >= tau
+        for i in np.flatnonzero(open_).tolist():
+            if open_[i]:
+                kept[n], n = rows[i], n + 1
+                out.append(a + i)
+                open_[i + 1 :] &= ~near[i, i + 1 :]
+    return np.array(out, dtype=np.int64)
+
+
+def one_memory(df: DataFrame, order: str, vector: str, tau: float, block: int = 16_384) -> DataFrame:
+    """``online_memory`` as one memory over all rows: (other columns, order, template, hits).
+
+    ``order`` holds distinct whole numbers. Rows come in blocks of the order, each as long as all before it but at most
+    ``block`` rows on average. The rows of a block are compared with all earlier templates where they stand; only those
+    without a match go to the driver, which finds the new templates among them and carries the exact matrix on. Then every
+    row takes the nearest template that is not younger than itself, and hits are counted along the order by ranges and totals.
+    """
+    context, other = df.sparkSession.sparkContext, [c for c in df.columns if c not in (order, vector)]
+    rows = df.withColumn(order, F.col(order).cast("long")).select(*other, order, vector)
+    n = rows.count()
+    edges, at = [], 1024
+    while at < n:
+        edges.append(at / n)
+        at += min(at, block)
+    cuts = sorted(set(rows.stat.approxQuantile(order, edges, 0.0001))) if edges else []
+    held_ids, held = np.zeros(0, dtype=np.int64), np.zeros((0, 0))
+
+    def without_match(ids: np.ndarray, templates: np.ndarray):
+        given = context.broadcast((ids, templates))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            _, t = given.value
+            for part in batches:
+                if not len(part):
+                    continue
+                x, open_ = _unit(part[vector]), np.ones(len(part), dtype=bool)
+                for b in range(0, len(t), 1024):
+                    open_ &= np.round(x @ t[b : b + 1024].T, 12).max(axis=1) < tau
+                yield part[open_]
+
+        return run
+
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        own = rows.select(order, vector)
+        own = own if low is None else own.where(F.col(order) > int(low))
+        own = own if high is None else own.where(F.col(order) <= int(high))
+        if len(held):
+            own = own.mapInPandas(without_match(held_ids, held), own.schema)
+        found = own.toPandas().sort_values(order)
+        if len(found):
+            x = _unit(found[vector])
+            new = _new_templates(x, tau)
+            held_ids, held = np.concatenate([held_ids, found[order].to_numpy()[new]]), np.concatenate([held.reshape(-1, x.shape[1]), x[new]])
+    given = context.broadcast((held_ids, held))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, t = given.value
+        for part in batches:
+            if not len(part):
+                continue
+            x, here = _unit(part[vector]), np.searchsorted(ids, part[order].to_numpy(), side="right")
+            best, which = np.full(len(x), -np.inf), np.zeros(len(x), dtype=np.int64)
+            for b in range(0, len(t), 1024):
+                sim = np.round(x @ t[b : b + 1024].T, 12)
+                sim[np.arange(b, b + sim.shape[1])[None, :] >= here[:, None]] = -np.inf
+                j = sim.argmax(axis=1)
+                better = sim[np.arange(len(x)), j] > best
+                best[better], which[better] = sim[np.arange(len(x)), j][better], j[better] + b
+            alone = best < tau  # only a vector of zeros is not as near to itself
+            which[alone] = here[alone] - 1
+            yield part[[*other, order]].assign(template=which)
+
+    schema = StructType([*rows.select(*other, order).schema.fields, StructField("template", LongType())])
+    assigned = settled(rows.mapInPandas(assign, schema), "memory")
+    # running counts by range of the order: rows of one template and range are numbered, totals of earlier ranges added
+    spread = F.lit(0)
+    for cut in cuts:
+        spread = spread + (F.col(order) > int(cut)).cast("int")
+    placed = assigned.withColumn("range", spread)
+    totals = placed.groupBy("template", "range").agg(F.count("*").alias("n"))
+    before = totals.withColumn("before", F.sum("n").over(Window.partitionBy("template").orderBy("range")) - F.col("n")).drop("n")
+    number = F.row_number().over(Window.partitionBy("template", "range").orderBy(order))
+    return placed.withColumn("number", number).join(before, ["template", "range"]).select(*other, order, "template", (F.col("number") + F.col("before")).alias("hits"))

@@ -190,7 +190,7 @@ def dual_recon_hard_samples(spark, d):
 @query()
 def online_memory(spark, d):
     v = table(spark, d, "embeddings", "vec_id", "embedding", "label")
-    return models.online_memory(v.withColumn("shard", F.pmod(F.xxhash64("label", F.col("vec_id") % 64), F.lit(256))), ["label", "shard"], "vec_id", "embedding", 0.5).select("vec_id", "label", "template", "hits")
+    return models.one_memory(v, "vec_id", "embedding", 0.5).select("vec_id", "label", "template", "hits")
 
 
 @query(f"WITH {POINTS} SELECT user_id, count(*) AS n, round(max(m), 6) AS peak, CASE WHEN max(m) >= 150 THEN 'hard' WHEN max(m) >= 100 THEN 'soft' ELSE 'drop' END AS tier FROM pt GROUP BY 1")
