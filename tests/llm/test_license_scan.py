@@ -29,3 +29,23 @@ def test_oracle(spark, data_dir):
     expected = sorted(con.execute(license_scan.oracle_sql()).fetchall())
     got = sorted(tuple(r) for r in license_scan.scan(spark.read.parquet(os.path.join(data_dir, "documents.parquet"))).collect())
     assert got == expected and any(r[3] for r in got)
+
+
+def test_titled_and_wrapped_texts(spark):
+    import textwrap
+
+    isc = next(t for name, t in license_scan.KNOWN if name == "ISC")
+    wrap = lambda t, n: "\n".join(textwrap.fill(p, n) for p in t.split("\n"))
+    texts = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + wrap(MIT, 78)),
+        ("MIT", "# The MIT License (MIT)\r\n\r\n© 2020 Somebody\r\nAll rights reserved.\r\n" + MIT),
+        ("MIT", "(The MIT License)\n\nCopyright (c) 2020 Somebody\n\n" + MIT),
+        ("ISC", "ISC License\n\nCopyright 2001-2020, Somebody\n\n" + isc.replace("the above copyright", "the above\ncopyright")),
+        *(("ISC", wrap(isc, n)) for n in range(40, 100)),
+        *(("MIT", wrap(MIT, n)) for n in range(40, 100)),
+        (None, "MIT License"),
+        (None, "All rights reserved"),
+        (None, isc.replace("copyright notice and this", "notice and this")),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in license_scan.scan(docs).collect()} == {i: name for i, (name, _) in enumerate(texts)}

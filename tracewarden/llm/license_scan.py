@@ -1,8 +1,9 @@
 """Licence scans: canonical digests of entire texts, hash-joined to the digests of known licences.
 
 A text is brought to a canonical form: lower case, lines that only state a copyright gone,
-punctuation and white space one space each, equivalent spellings made one. Its SHA-256 is joined
-to those of the known texts, whose number is fixed by the table below, so the known side may be
+punctuation and white space one space each, equivalent spellings made one. The form that is looked
+up also lacks titles and 'all rights reserved', and keeps sentences that wrap to a line which starts
+with 'copyright'; ``digest`` stays that of the plain form. The SHA-256 is joined to those of the known texts, whose number is fixed by the table below, so the known side may be
 broadcast. Single lines are looked up too, since notices of one line stand in longer texts; only
 lines that match are grouped by document. Everything is DataFrame functions.
 
@@ -21,6 +22,11 @@ from tracewarden.llm.shared import NO_ID
 # fixed values: lines that state a copyright, what counts as a space, and spellings made equal
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(?:copyright|\(c\)|©)[^\n]*$"
 COPYRIGHT_HINT = r"copyright|\(c\)|©"
+# fixed values of the form that is looked up: a line states a holder or year, reserves all rights, or is the title of a text that is known without it
+HOLDER_LINE = r"(?m)^[ \t#*/;-]*(?:copyright[ \t:]*(?:\(c\)|©|[\[<{(]?[ \t]*(?:\d{4}|yyyy|year))|\(c\)[ \t]*(?:copyright[ \t]*)?[\[<{(]?(?:\d{4}|yyyy|year)|©)[^\n]*$"
+RIGHTS_LINE = r"(?m)^[ \t#*/;-]*all rights reserved\.?[ \t*/\r]*$"
+TITLE_LINE = r"""(?m)^[ \t#*/;=(-]*(?:the )?(?:mit licen[cs]e(?: \(mit\))?|(?:expat|mit/expat) licen[cs]e|isc licen[cs]e(?: \(iscl?\))?|(?:bsd )?zero[- ]clause bsd licen[cs]e(?: \(0bsd\))?|bsd zero[- ]clause licen[cs]e(?: \(0bsd\))?|0bsd licen[cs]e|(?:(?:new|modified|revised|simplified|original) )?(?:bsd )?(?:[23]|two|three)[- ]clause (?:bsd )?(?:"?(?:new|revised|simplified)"?(?: or "?(?:new|revised|simplified|freebsd)"?)? )?licen[cs]e|(?:new |modified |revised |simplified )?bsd licen[cs]e)[.:)]*[ \t*/=\r]*$"""
+FORM_HINT = r"copyright|\(c\)|©|all rights reserved|licen[cs]e"
 NO_SPACE = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 SPELLINGS = (
     ("licence", "license"),
@@ -71,20 +77,32 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 )
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form: words of ASCII letters and digits or of other characters, one space between them."""
-    low = F.lower(text)
-    plain = F.when(low.rlike(COPYRIGHT_HINT), F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low)
+def _words(plain: Column) -> Column:
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, NO_SPACE, " ")), F.lit(" "))
     for other, one in SPELLINGS:
         spaced = F.replace(spaced, F.lit(f" {other} "), F.lit(f" {one} "))
     return F.trim(spaced)
 
 
+def canonical(text: Column) -> Column:
+    """The canonical form: words of ASCII letters and digits or of other characters, one space between them."""
+    low = F.lower(text)
+    return _words(F.when(low.rlike(COPYRIGHT_HINT), F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low))
+
+
+def looked_up(text: Column) -> Column:
+    """The form that known texts are found by: as ``canonical``, but sentences that wrap to 'copyright' stay, and titles go."""
+    low = F.lower(text)
+    plain = low
+    for line in (HOLDER_LINE, RIGHTS_LINE, TITLE_LINE):
+        plain = F.regexp_replace(plain, line, "")
+    return _words(F.when(low.rlike(FORM_HINT), plain).otherwise(low))
+
+
 def known(spark) -> DataFrame:
-    """digest, license: of fixed size."""
+    """known (a digest), license: of fixed size."""
     table = spark.createDataFrame(list(KNOWN), "license string, text string")
-    return table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    return table.select(F.sha2(looked_up(F.col("text")), 256).alias("known"), "license").groupBy("known").agg(F.min("license").alias("license"))
 
 
 def longest_known() -> int:
@@ -97,10 +115,10 @@ def scan(docs: DataFrame) -> DataFrame:
     table = F.broadcast(known(spark))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), F.xxhash64("text").alias("k2"))
-    whole = keyed.select("doc_id", "k1", "k2", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(table, "digest", "left")
+    whole = keyed.select("doc_id", "k1", "k2", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.sha2(looked_up(F.col("text")), 256).alias("known")).join(table, "known", "left")
     # a known line cannot be longer than the longest known text and the characters that its canonical form drops
     lines = keyed.select("k1", "k2", F.posexplode(F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= 4 * longest_known()) & F.lower(x).rlike("licen|spdx|copyright|permission"))).alias("line", "body"))
-    found = lines.select("k1", "k2", "line", F.sha2(canonical(F.col("body")), 256).alias("digest")).join(table, "digest")
+    found = lines.select("k1", "k2", "line", F.sha2(looked_up(F.col("body")), 256).alias("known")).join(table, "known")
     by_text = found.groupBy("k1", "k2").agg(F.countDistinct("line").alias("n_license_lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
     return whole.join(by_text, ["k1", "k2"], "left").select("doc_id", "digest", "license", F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"), F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
 
