@@ -77,6 +77,39 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 )
 
 
+#: Whole texts by the SHA-256 of the form that is looked up; with variants in which they are in use (numbered or not, with or without the appendix).
+DIGESTS = (
+    ("Apache-2.0", "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6"),
+    ("Apache-2.0", "f9138026e58bdb767e6c6e974637ff9aacbaedf2695e30fef144e5d7d84448ff"),
+    ("Apache-2.0", "6fb8411669deea22294b6190fad00b8e39899d0b7b6c5cf97a3b15b47e129c38"),
+    ("Artistic-1.0-Perl", "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a"),
+    ("BSD-2-Clause", "925e3306eb4a5616de812ebe7636c82195825e66ae2e33f8b7f4a9697c78b03b"),
+    ("BSD-2-Clause", "8027774096368556510a578ff4d19ab28b8072aa988cce24dfe85b7afbee8999"),
+    ("BSD-2-Clause", "e835d4cab37d82b2782bf5a09cc12632e08714f367ecb670b91be8249b235ba6"),
+    ("BSD-2-Clause", "6091119410d6d441128c7514a97969723030816ec99a6b3939b6c4dfbe349d7e"),
+    ("BSD-3-Clause", "ab899150d08a3ccf837f742a20fbd8dd108031100312f3224aa5e2d14e0d60f1"),
+    ("BSD-3-Clause", "80e928d346053a16374bd8965df8b724bde7813286c7acf4e9c041e405fcddc8"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC-BY-SA-4.0", "03d8a3b9c6db6790c3520a25812373d89c7f2a005ef01b18a0abcd015657a456"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "b6270c129be9b0e0172ebf4f39b974d927f155b0569e6689a4fd15068977ecdd"),
+    ("GFDL-1.3", "7a546845f0b9175c013adbd275ab046668c2cd62fa85809f866f6d3218d6adcd"),
+    ("GPL-1.0", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-2.0", "0c64ee746791150d3c6210d29a2984d92afca30fa433f834ca884a3002b96384"),
+    ("GPL-3.0", "ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8"),
+    ("LGPL-2.0", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e"),
+    ("LGPL-2.1", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("NCSA", "2ad8f6130122c81134816d3c2382f6acbf3405b4a64d5dc8ae203a77c5f31585"),
+    ("OFL-1.1", "869f1a9ecdc619b007404d7468c79975517aca73c87fcba1826bb207db26a2e1"),
+    ("Unicode-3.0", "6206dc9e424a934a8cdee8c2af92797731ea0c3df2cf20b96f29960cb75e4d42"),
+    ("Unlicense", "7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd"),
+)
+
+
 def _words(plain: Column) -> Column:
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, NO_SPACE, " ")), F.lit(" "))
     for other, one in SPELLINGS:
@@ -102,7 +135,7 @@ def looked_up(text: Column) -> Column:
 def known(spark) -> DataFrame:
     """known (a digest), license: of fixed size."""
     table = spark.createDataFrame(list(KNOWN), "license string, text string")
-    return table.select(F.sha2(looked_up(F.col("text")), 256).alias("known"), "license").groupBy("known").agg(F.min("license").alias("license"))
+    return table.select(F.sha2(looked_up(F.col("text")), 256).alias("known"), "license").unionAll(spark.createDataFrame(list(DIGESTS), "license string, known string").select("known", "license")).groupBy("known").agg(F.min("license").alias("license"))
 
 
 def longest_known() -> int:
