@@ -214,3 +214,16 @@ def test_online_memory_matches_across_ids_and_labels(spark, data_dir):
     rows = [(r.vec_id, list(map(float, r.embedding))) for r in spark.read.parquet(f"{data_dir}/embeddings.parquet").collect()]
     got = sorted((x.vec_id, x.template, x.hits) for x in plans.QUERIES["online_memory"](spark, data_dir).collect())
     assert got == _memory(rows, 0.5)
+
+
+def test_hybrid_search_ranks_all_rows(spark, data_dir):
+    from tracewarden import plans
+
+    rows = spark.read.parquet(f"{data_dir}/embeddings.parquet").select("vec_id", "embedding", "label").collect()
+    ids, labels = np.array([r.vec_id for r in rows]), np.array([r.label for r in rows], dtype=float)
+    x = np.array([r.embedding for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in plans.QUERIES["hybrid_topk_whole"](spark, data_dir).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {int(q): ids[np.lexsort((ids, -np.round(0.7 * (x @ x[i]) + 0.3 * np.exp(-np.abs(labels - labels[i])), 12)))[:6]].tolist() for i, q in enumerate(ids) if q % 20 == 0}

@@ -163,6 +163,17 @@ def hybrid_similarity(spark, d):
     return x.join(y, "b").select("a", "b", F.round(0.7 * cos + 0.3 * F.exp(-far), 5).alias("sim"))
 
 
+HYBRID = f"0.7 * ({COS}) + 0.3 * exp(-abs(x.label - y.label))"
+
+
+@query(f"WITH p AS (SELECT x.vec_id AS query_id, y.vec_id, {HYBRID} AS sim FROM embeddings x, embeddings y WHERE x.{STATED}) SELECT query_id, vec_id, round(sim, 5) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id)::INTEGER AS rank FROM p QUALIFY rank <= 6")
+def hybrid_topk_whole(spark, d):
+    """The stated queries against all rows by the score of ``hybrid_similarity``; vectors of one table are equally long."""
+    v = table(spark, d, "embeddings", "vec_id", "embedding", "label").withColumnRenamed("embedding", "vector")
+    found = models.vector_top_k(v.where(STATED).withColumnRenamed("vec_id", "query_id"), v, 6, number="label", share=0.7)
+    return found.select("query_id", "vec_id", F.round("sim", 5).alias("sim"), "rank")
+
+
 def _features(spark, d) -> DataFrame:
     return points(spark, d).select("user_id", "h", F.col("m").alias("m"), F.col("mx").alias("mx"), F.col("n").cast("double").alias("n"))
 
