@@ -227,3 +227,22 @@ def test_hybrid_search_ranks_all_rows(spark, data_dir):
     for r in plans.QUERIES["hybrid_topk_whole"](spark, data_dir).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {int(q): ids[np.lexsort((ids, -np.round(0.7 * (x @ x[i]) + 0.3 * np.exp(-np.abs(labels - labels[i])), 12)))[:6]].tolist() for i, q in enumerate(ids) if q % 20 == 0}
+
+
+def test_trade_graph_has_all_pairs(spark, data_dir):
+    from tracewarden import plans
+    from tracewarden.plans.features import flows
+
+    pairs = {(r.src, r.dst) for r in flows(spark, data_dir).where("src <> dst").select("src", "dst").distinct().collect()}
+    nodes = {n for p in pairs for n in p}
+    out = {n: {b for a, b in pairs if a == n} for n in nodes}
+    run = lambda name: plans.QUERIES[name](spark, data_dir).collect()
+    assert {(r.node, r.n_out, r.n_in) for r in run("degree_whole")} == {(n, len(out[n]), sum(n in o for o in out.values())) for n in nodes} and max(map(len, out.values())) > 3
+    assert {(r.src, r.dst) for r in run("reciprocal_edges_whole")} == {(a, b) for a, b in pairs if a < b and (b, a) in pairs}
+    near = {(r.root, r.node) for r in run("bfs_downstream_whole") if r.depth == 1}
+    assert near == pairs
+    label = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {(r.node, r.component) for r in run("trade_components_whole")} == set(label.items())
