@@ -80,3 +80,29 @@ def test_exchange_closes_gaps(spark, monkeypatch):
     alone = sum(int(packing.best_fit(lengths[i::30], 1024).max()) + 1 for i in range(30))
     n = check(rows, 1024)
     assert len(rows) == 300 and packing.lower_bound(lengths, 1024) <= n < alone - 10
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rounds_of_several_partitions_lay_out_once_and_never_worsen(spark, monkeypatch, seed):
+    monkeypatch.setattr(packing, "DEAL", 10)
+    monkeypatch.setattr(packing, "MEET", 2)
+    rounds, write = [], packing.written
+
+    def noted(df, name):
+        out = write(df, name)
+        if name.startswith("packed"):
+            rounds.append([tuple(x) for x in out.select("doc_id", "sequence_id", "done").collect()])
+        return out
+
+    monkeypatch.setattr(packing, "written", noted)
+    r = random.Random(seed)
+    lengths = [r.choice([r.randint(490, 540), r.randint(780, 1000), r.randint(20, 240)]) for _ in range(160)]
+    items = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing.PIECES)
+    rows = packing.pack(items).collect()
+    assert sorted(x.doc_id for x in rows) == list(range(160)) and len(rounds) > 3
+    n = check(rows, 1024)
+    totals, closed = [], set()
+    for now in rounds:
+        totals.append(len(closed | {q for _, q, _ in now}))
+        closed |= {q for _, q, done in now if done}
+    assert totals == sorted(totals, reverse=True) and totals[-1] == n

@@ -133,7 +133,9 @@ def pack(items: DataFrame, size: int = 1024) -> DataFrame:
     todo = now.withColumn("sequence_id", F.lit(-1).cast("long"))
     while True:
         last = round_ > 0 and deal == 1 or round_ >= 60
-        dealt = todo.repartition(deal, F.xxhash64("doc_id", "piece", F.lit(round_)))
+        # released sequences move whole, so that each is counted in one partition and keeps its id in one
+        key = ["sequence_id"] if round_ else ["doc_id", "piece"]
+        dealt = todo.repartition(deal, F.xxhash64(*key, F.lit(round_)))
         packed = written(dealt.mapInArrow(_pack(size, round_, last), PACKED), f"packed{round_}")
         if round_ == 0:
             removed(spark, now)
