@@ -1,6 +1,7 @@
 """Operators against naive versions, adversarial cases and invariants."""
 
 import itertools
+import os
 import random
 
 import numpy as np
@@ -29,6 +30,39 @@ def test_interval_join_equals_naive(spark):
         assert len(rows) == len(expected) and {tuple(v) for v in rows} == expected
     semi = intervals.interval_join(x, y, ["k"], ("a", "b"), ("c", "d"), 7.0, "left_semi").collect()
     assert sorted(v.l for v in semi) == sorted({p[0] for p in expected})
+    twice = intervals.interval_join(x.unionAll(x), y, ["k"], ("a", "b"), ("c", "d"), 7.0, "left_semi").collect()
+    assert sorted(v.l for v in twice) == sorted([p for p in {p[0] for p in expected} for _ in range(2)])
+
+
+def test_quantiles_equal_numpy(spark):
+    r = np.random.default_rng(2)
+    rows = [("hot", float(v)) for v in r.normal(0, 1, 900).round(2)] + [("few", 1.0), ("few", 4.0), ("one", 7.0), (None, 3.0), (None, 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {x.k: x.q for x in ranks.quantiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0], ["k"]).collect()}
+    for k in ("hot", "few", "one", None):
+        assert np.allclose(got[k], np.quantile([v for own, v in rows if own == k], [0.0, 0.25, 0.5, 0.9, 1.0])), k
+    assert "none" not in got
+    whole = df.withColumn("a", ranks.at_quantile(df, "v", 0.75)).first().a
+    assert abs(whole - np.quantile([v for _, v in rows if v is not None], 0.75)) < 1e-12
+
+
+def test_forgotten_tables(spark, tmp_path):
+    from tracewarden import session
+
+    out = session.settled(spark.range(5), "x")
+    folder = session.work_dir(spark).removeprefix("file:").replace("//", "/")
+    assert out.count() == 5 and os.path.isdir(folder)
+    session.forget(spark)
+    assert not os.path.isdir(folder)
+
+
+def test_router_ids(spark):
+    reports = spark.createDataFrame([("r1", "b"), ("r1", "c"), ("r2", "a"), ("r2", "c"), ("r3", "a"), ("r3", "b")], "router string, neighbour string")
+    assert {(x.router, x.id) for x in graph.omitted_ids(reports).collect()} == {("r1", "a"), ("r2", "b"), ("r3", "c")}
+    # nobody omits just one id: only the permutation under which all reports are mutual is left
+    ring = spark.createDataFrame([("r1", "b"), ("r2", "a"), ("r3", "d"), ("r4", "c")], "router string, neighbour string")
+    assert graph.resolved_ids(ring, ["a", "b", "c", "d"]) == {"r1": "a", "r2": "b", "r3": "c", "r4": "d"}
+    assert graph.resolved_ids(ring, list(range(12)), most=100) == {}
 
 
 @pytest.mark.parametrize("parts", [1, 7, 64])
@@ -98,8 +132,8 @@ def test_decisions(spark):
     cur = F.array(*map(F.lit, "abc"))
     assert one(spark, decisions.promoted(cur, F.lit("c"), 3)) == ["c", "a", "b"] and one(spark, decisions.promoted(cur, F.lit("z"), 3, True)) == ["a", "b", "c"]
     assert one(spark, decisions.swapped(cur, lambda v: v == "c")) == ["c", "b", "a"] and one(spark, decisions.swapped(cur, lambda v: v == "q")) == ["a", "b", "c"]
-    terms = {n: F.lit(1.0 if n == "log" else 0.0) for n in decisions.ROOT_WEIGHTS}
-    assert abs(one(spark, decisions.weighted(terms)) - 0.1) < 1e-12 and one(spark, decisions.explained(terms))[0]["name"] == "log"
+    terms = {n: F.lit(1.0 if n == "contradiction" else 0.0) for n in decisions.ROOT_WEIGHTS}
+    assert abs(one(spark, decisions.weighted(terms)) + 0.15) < 1e-12 and one(spark, decisions.explained(terms))[0]["name"] == "contradiction"
 
 
 def test_many_to_one_is_checked(spark):
@@ -135,10 +169,17 @@ def test_sources_and_sinks(spark, tmp_path):
         sinks.require_nonzero({"x": spark.range(0), "y": spark.range(1)})
     target = f"file://{tmp_path}/out"
     sinks.publish({"a": spark.range(2), "b": spark.range(1)}, {}, target)
-    before = sorted(spark.read.json(target).collect())
+    before, held = sorted(sinks.published(spark, target).collect()), {p: p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    with pytest.raises(RuntimeError):
+        sinks.publish({"a": spark.range(5)}, {"b": "boom"}, target)
+    assert sorted(sinks.published(spark, target).collect()) == before and len(before) == 3
+    with pytest.raises(PySparkException):  # breaks off while it is written: the publication of before stands, byte for byte
+        sinks.publish({"a": spark.range(5).select(F.when(F.col("id") > 3, F.raise_error(F.lit("late"))).otherwise(F.col("id").cast("string")).alias("id"))}, {}, target)
+    assert all(p.read_bytes() == b for p, b in held.items()) and sorted(sinks.published(spark, target).collect()) == before
+    sinks.publish({"a": spark.range(5)}, {}, target)
+    assert sinks.published(spark, target).count() == 5
     with pytest.raises(RuntimeError):
         sinks.publish({"a": spark.range(5)}, {"b": "boom"}, target)
-    assert sorted(spark.read.json(target).collect()) == before and len(before) == 3
     assert spark.read.json(f"{target}-report").first().dataset == "b"
 
 

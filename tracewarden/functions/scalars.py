@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: keyword rules for messages, the first that matches wins; flags; the template's replacements
-SEMANTIC_RULES = (("down", ("down", "lost", "dead")), ("up", ("up", "established")), ("change", ("change", "transition")), ("error", ("error", "fail", "invalid")))
-KEYWORDS = ("down", "up", "error", "fail", "timeout", "reset", "lost")
-TEMPLATE = ((r'"[^"]*"', "<str>"), (r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "<ip>"), (r"\b[0-9a-fA-F]*[0-9][0-9a-fA-F]{5,}\b", "<hex>"), (r"\b[0-9]+\b", "<num>"), (r"\s+", " "))
+# fixed values: classes of messages, the first with a keyword wins; keywords that are counted; what templates replace, in order
+SEMANTIC_RULES = (
+    ("flap", ("flap", "flapping")),
+    ("unavailable", ("unavailable", "no route", "unreachable")),
+    ("timeout", ("timeout", "timed out")),
+    ("refused", ("refused",)),
+    ("down", ("down", "went down", "shutdown")),
+    ("up", ("up", "established", "comes up")),
+    ("change", ("change", "changed", "update", "added", "removed", "withdraw")),
+    ("error", ("error", "err", "could not", "failed", "failure")),
+    ("warning", ("warn",)),
+)
+KEYWORDS = tuple("bgp ospf route link interface acl deny drop cpu memory disk dns web auth timeout error fail down flap blackhole port rule default_route".split())
+TEMPLATE = (
+    (r'"[^"]*"', "<str>"),
+    (r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "<ip>"),
+    (r"\b(?:[0-9a-fA-F]{0,4}:){2,}[0-9a-fA-F]{0,4}\b", "<ipv6>"),
+    (r"\b[0-9a-fA-F]{6,}\b", "<hex>"),
+    (r"\b[0-9]+\b", "<n>"),
+    (r"\s+", " "),
+)
+# fixed values: regions by the name of their place, and the elements of a region
+REGION_NAMES = (("北大", "beida"), ("成都", "chengdu"), ("广州", "guangzhou"), ("南京", "nanjing"), ("上海", "shanghai"), ("武汉", "wuhan"), ("西安", "xian"))
+ELEMENTS = ("br-1", "br-2", "cr-1", "cr-2", "fw", "traffic-vm", "service-vm-1", "service-vm-2", "service-vm-3", "monitor-vm")
+ROLE = r"(service-vm-[0-9]+|traffic-vm|monitor-vm|br-[0-9]+|cr-[0-9]+|fw)"
+ROLE_FAMILY = r"^(service-vm|traffic-vm|monitor-vm|br|cr|fw)"
 SATURATION = 197362.0
 
 
@@ -49,6 +71,56 @@ def region_of(c: Column) -> Column:
     return F.regexp_extract(c, "^([a-z]+)[-_]", 1)
 
 
+def region_code(name: Column) -> Column:
+    """The region of a dataset's name: its leading letters before a separator, else a place that it names, else the name in snake case."""
+    lead = F.lower(F.regexp_extract(name, "^([a-zA-Z]+)[_-]", 1))
+    out = F.when(lead != "", lead)
+    for place, code in REGION_NAMES:
+        out = out.when(name.contains(place), code)
+    slug = F.regexp_replace(F.regexp_replace(name, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", "")
+    return out.otherwise(F.when(slug == "", "unknownregion").otherwise(F.lower(slug)))
+
+
+def role_key(element: Column) -> Column:
+    """The role at the end of an element's id, which regions share; the trimmed id if it has none."""
+    own = F.regexp_extract(F.trim(element), ROLE + "$", 1)
+    return F.when(own != "", own).otherwise(F.trim(element))
+
+
+def role_of(element: Column, unknown: str = "?") -> Column:
+    """The first role that an element's id names."""
+    own = F.regexp_extract(element, ROLE, 1)
+    return F.when(own != "", own).otherwise(unknown)
+
+
+def role_family(element: Column, unknown: str = "?") -> Column:
+    """The role without its number."""
+    own = F.regexp_extract(role_of(element, unknown), ROLE_FAMILY, 1)
+    return F.when(own != "", own).otherwise(unknown)
+
+
+def repaired_id(element: Column, region: Column, regions: tuple[str, ...], elements: tuple[str, ...] = ELEMENTS) -> Column:
+    """(id, action): ok as it is; stripped of repeated region prefixes; added one where there was none; else unparsable, and unchanged."""
+    either = "|".join(regions)
+    bare = F.regexp_replace(element, f"^(?:(?:{either})-)+", "")
+    once = F.regexp_replace(element, f"^(?:{either})-", "")
+    legal = lambda c: c.isin(*elements)
+    action = (
+        F.when(element.isNull() | (element == ""), "unparsable")
+        .when((once != element) & legal(once), "ok")
+        .when(legal(bare) & region.isNull(), "unparsable")
+        .when((bare != element) & legal(bare), "stripped")
+        .when(legal(element), "added")
+        .otherwise("unparsable")
+    )
+    return F.struct(F.when(action.isin("stripped", "added"), F.concat_ws("-", region, bare)).otherwise(element).alias("id"), action.alias("action"))
+
+
+def point_id(dataset: Column, element: Column, ts: Column) -> Column:
+    """dataset:element:time, the time to the second in UTC."""
+    return F.concat_ws(":", dataset, element, F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
 def bin_of(ts: Column, minutes: int) -> Column:
     """The start of the bin; null times stay null."""
     return F.timestamp_seconds(F.floor(F.unix_timestamp(ts.cast("timestamp")) / (minutes * 60)) * (minutes * 60))
@@ -75,7 +147,7 @@ def semantic_class(message: Column, severity: Column | None = None) -> Column:
             hit = hit | low.contains(w)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     if severity is not None:
-        out = out.when(severity <= 3, "error")
+        out = out.when(severity.try_cast("double") <= 3, "error")
     return out.otherwise("info")
 
 
@@ -104,11 +176,11 @@ def log_saturation(c: Column, full: float = SATURATION) -> Column:
     return F.when(c > 0, F.least(F.lit(1.0), F.log1p(c) / F.log1p(F.lit(full)))).otherwise(0.0)
 
 
-def level(c: Column, edges: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75), names: tuple[str, ...] = ("none", "low", "mid", "high", "extreme")) -> Column:
-    """The name of the range that a value lies in; ranges are open below and closed above."""
-    out = F.when(c.isNull() | (c <= edges[0]), names[0])
-    for edge, name in zip(edges[1:], names[1:]):
-        out = out.when(c <= edge, name)
+def level(c: Column, edges: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0), names: tuple[str, ...] = ("none", "low", "mid", "high", "extreme")) -> Column:
+    """The name of the first edge that a value is below; nulls have the first name."""
+    out = F.when(c.isNull(), names[0])
+    for edge, name in zip(edges, names):
+        out = out.when(c < edge, name)
     return out.otherwise(names[len(edges)])
 
 

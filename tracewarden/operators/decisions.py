@@ -9,8 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-# fixed values: the weights of the seven terms of the root score
-ROOT_WEIGHTS = {"local": 0.25, "temporal": 0.2, "propagation": 0.15, "routing": 0.15, "log": 0.1, "flow": 0.1, "quality": 0.05}
+# fixed values: the weights of the seven terms of the root score; what others explain, and what speaks against an element, counts against it
+ROOT_WEIGHTS = {
+    "local_anomaly": 0.20,
+    "temporal_priority": 0.25,
+    "outgoing_propagation": 0.20,
+    "cross_modal_support": 0.20,
+    "predictive_explanation": 0.15,
+    "incoming_propagation": -0.15,
+    "contradiction": -0.15,
+}
 
 
 def closed_top(lists: list[Column], legal: Column, k: int) -> Column:
@@ -80,6 +88,34 @@ def collapse_windows(predictions: DataFrame, window: list[str], k: int = 5) -> D
     return kept.groupBy(*window).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "element"))), lambda x: x["element"]).alias("top"))
 
 
+def named_ranks(said: Column, legal: Column) -> Column:
+    """Names in the order in which they were said: a prefix up to the first hyphen goes where the whole is not known, and unknown and repeated names are left out."""
+    known = lambda x: F.array_contains(legal, x)
+    bare = F.transform(said, lambda x: F.when(known(F.trim(x)), F.trim(x)).otherwise(F.regexp_replace(F.trim(x), "^[^-]*-", "")))
+    return F.filter(F.array_distinct(bare), known)
+
+
+# fixed values: points of a judged prediction
+TIME_BASE, TIME_SHARE, TIME_REACH = 0.7, 0.3, 360.0
+CAUSE_POINTS, PLACE_SHARES, CATEGORY_POINTS = 40.0, (1.0, 0.8, 0.6, 0.4, 0.2), 10.0
+
+
+def time_points(a: Column, b: Column, c: Column, d: Column, seconds: float = 1.0) -> Column:
+    """The share for the times of a match: all at no distance of the ends, the base from ``TIME_REACH`` seconds on. ``seconds``: of a unit."""
+    far = (F.abs(a - c) + F.abs(b - d)) * seconds
+    return F.lit(TIME_BASE) + TIME_SHARE * F.greatest(F.lit(0.0), 1 - far / TIME_REACH)
+
+
+def cause_points(place: Column) -> Column:
+    """Points by the place, from 1, at which the true element is named; none if it is not."""
+    return F.coalesce(F.try_element_at(F.array(*map(F.lit, PLACE_SHARES)), F.nullif(place.cast("int"), F.lit(0))) * CAUSE_POINTS, F.lit(0.0))
+
+
+def category_points(major: Column, sub: Column) -> tuple[Column, Column]:
+    """(major, minor): points of the category; the minor ones need the major."""
+    return F.when(major, CATEGORY_POINTS).otherwise(0.0).alias("major"), F.when(major & sub, CATEGORY_POINTS).otherwise(0.0).alias("minor")
+
+
 def vote(rows: DataFrame, key: str, choice: str, weight: Column) -> DataFrame:
     """The choice with the largest total weight (the least among equals)."""
     totals = rows.groupBy(key, choice).agg(F.sum(weight).alias("w"))

@@ -6,10 +6,13 @@ folder, so lineage stays short and nothing is collected but counts.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.session import settled
+from tracewarden.session import removed, settled
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -60,20 +63,72 @@ def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the least node that each node of (src, dst) reaches, ends of edges only.
 
-    Every round, each node tells its neighbours and its present label's node the least label it
-    sees; labels are minima over neighbours, so heavy nodes are combined before the shuffle.
+    Alternates two steps until nothing changes: every node links its larger neighbours to its
+    least neighbour, then its smaller neighbours likewise. Minima are combined before they are
+    shuffled and are written, so that the join which brings them back to the links has a table on
+    either side and adaptive execution may split a node with very many links. The number of rounds
+    grows with the logarithm of the longest path. Nulls and self-links are ignored; no edges give
+    no rows.
     """
-    both = settled(undirected(edges), "edges")
-    labels = settled(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")), "labels")
+    spark = edges.sparkSession
+    now = settled(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "links")
+    mark = None
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "component")
-        jump = labels.alias("x").join(labels.alias("y"), F.col("x.component") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.component").alias("component"))
-        new = settled(labels.unionAll(near).unionAll(jump).groupBy("node").agg(F.min("component").alias("component")), "labels")
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
-        labels = new
-        if changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = settled(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        large = settled(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct(), "large")
+        least = settled(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        new = settled(large.join(least, "a").select(ends.alias("e")).select("e.*").where("a <> b").distinct(), "links")
+        told = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        for old in (now, low, large, least):
+            removed(spark, old)
+        now = new
+        if told == mark:
+            break
+        mark = told
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select("b", "b").toDF("node", "component")).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def omitted_ids(reported: DataFrame) -> DataFrame:
+    """(router, id) for each router whose reports (router, neighbour) name all known ids but one: that one is its own.
+
+    Counts and sums decide it: the id left out is the total of all ids' ranks less those named. Nothing is
+    collected but two numbers.
+    """
+    ids = reported.select(F.col("neighbour").alias("id")).distinct()
+    total = ids.agg(F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))).scalar()
+    named = reported.select("router", "neighbour").distinct().groupBy("router").agg(F.count("*").alias("n"), F.sum(F.xxhash64("neighbour").cast("decimal(38,0)")).alias("s"))
+    left = named.withColumn("t", total).where(F.col("n") == F.col("t.n") - 1).select("router", (F.col("t.s") - F.col("s")).cast("long").alias("h"))
+    return left.join(ids.withColumn("h", F.xxhash64("id")), "h").select("router", "id")
+
+
+def resolved_ids(reported: DataFrame, ids: list, most: int = 200_000) -> dict:
+    """The id of each router of a small graph: the unique omitted one, else the permutation with the most mutual reports.
+
+    ``reported`` (router, neighbour) names ids of neighbours. A router cannot be its own neighbour. Of equally
+    good permutations the first in order wins; more than ``most`` permutations are not searched, and what is
+    not settled is left out. Driver-side: the routers of one region.
+    """
+    rows = {(r["router"], r["neighbour"]) for r in reported.select("router", "neighbour").distinct().limit(10_000).collect()}
+    routers = sorted({r for r, _ in rows})
+    sure = {r["router"]: r["id"] for r in omitted_ids(reported).collect()}
+    taken = list(sure.values())
+    sure = {r: i for r, i in sure.items() if taken.count(i) == 1}
+    open_, free = [r for r in routers if r not in sure], [i for i in ids if i not in set(sure.values())]
+    if not open_ or math.perm(len(free), len(open_)) > most:
+        return sure
+    best, chosen = -1, {}
+    for order in itertools.permutations(free, len(open_)):
+        trial = sure | dict(zip(open_, order))
+        if any((r, trial[r]) in rows for r in open_):
+            continue
+        mutual = sum((b, trial[a]) in rows for a in routers for b in routers if a != b and (a, trial[b]) in rows)
+        if mutual > best:
+            best, chosen = mutual, trial
+    return chosen or sure
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -135,6 +190,20 @@ def lead_lag(edges: DataFrame, first_times: DataFrame, group: list[str], smoothi
     return counted.withColumn("weight", (F.col("n_after") + smoothing) / (F.col("n") + 2 * smoothing) * F.least(F.lit(1.0), F.col("n") / full))
 
 
+def within(edges: DataFrame, members: DataFrame, group: str) -> DataFrame:
+    """(group, src, dst): undirected edges whose ends are both members (group, node) of the same group, in both directions."""
+    ends = members.select(group, "node")
+    near = ends.join(undirected(edges).select(F.col("src").alias("node"), "dst"), "node")
+    return near.join(ends.withColumnRenamed("node", "dst"), [group, "dst"], "left_semi").select(group, F.col("node").alias("src"), "dst")
+
+
+def payload(edges: DataFrame) -> DataFrame:
+    """One row that shows a graph of one region as a whole: its nodes and its edges (a, b), both sorted. For artifacts, so its size is that of the graph."""
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    nodes = edges.select(F.col("src").alias("n")).unionAll(edges.select("dst")).agg(F.array_sort(F.collect_set("n"))).scalar()
+    return pairs.agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("edges")).withColumn("nodes", nodes)
+
+
 def traces(spans: DataFrame) -> DataFrame:
     """(caller, callee, calls) from spans (span_id, parent_id, service): parent and child joined on the span."""
     parent = spans.select(F.col("span_id").alias("parent_id"), F.col("service").alias("caller"))

@@ -41,16 +41,20 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], a: tuple[str
     """Pairs of rows, equal in ``on``, whose closed intervals of numbers share a point; how: inner or left_semi.
 
     ``cell`` is the width of the cells; near the usual length of the intervals is best. Column
-    names of the two sides must differ, but for ``on``.
+    names of the two sides must differ, but for ``on``. left_semi keeps every left row that meets a right one, repeated
+    rows as often as they are given.
     """
+    names = left.columns
+    if how == "left_semi":  # equal rows go on as one with a count, so that none is lost below
+        left = left.groupBy(*(F.col(f"`{c}`") for c in names)).agg(F.count("*").alias("__copies"))
     x, y = _cells(left, *a, cell, "a"), _cells(right, *b, cell, "b")
     meets = (F.col(a[0]) <= F.col(b[1])) & (F.col(b[0]) <= F.col(a[1]))
     if how == "left_semi":
-        names = left.columns
         first = (x["__cell"] == y["__cell"]) & meets
         for c in on:
             first = first & (x[c] == y[c])
-        return x.join(y, first, "left_semi").select(*names).dropDuplicates()
+        found = x.join(y, first, "left_semi").select(*names, "__copies").dropDuplicates(names)
+        return found.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
     once = F.col("__cell") == F.greatest("__low_a", "__low_b")
     return x.join(y, [*on, "__cell"]).where(meets & once).drop("__cell", "__low_a", "__low_b")
 
@@ -69,6 +73,13 @@ def best_match(left: DataFrame, right: DataFrame, on: list[str], left_id: str, r
     return best.select(left_id, (-F.col("s.m")).alias(right_id), F.col("s.dice").alias("dice"))
 
 
+def mutual_best(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, a: tuple[str, str], b: tuple[str, str], cell: float, least: float) -> DataFrame:
+    """Pairs of intervals that are each the best of the other by Dice coefficient, which is ``least`` or more; the least id among equals. One to one."""
+    pairs = interval_join(left, right, on, a, b, cell).withColumn("dice", dice(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]))).where(F.col("dice") >= least)
+    first = lambda own, other: F.row_number().over(Window.partitionBy(own).orderBy(F.desc(F.round("dice", 9)), other))
+    return pairs.withColumn("__l", first(left_id, right_id)).withColumn("__r", first(right_id, left_id)).where("__l = 1 and __r = 1").drop("__l", "__r")
+
+
 def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[str], direction: str = "backward", tolerance: float | None = None) -> DataFrame:
     """Each left row with the columns ``take`` of the right row that is last at or before it, first at or after it, or nearest.
 
@@ -118,18 +129,39 @@ def _per_group(df: DataFrame, by: list[str], fold, schema: str) -> DataFrame:
     return df.groupBy(*by).applyInPandas(fold, schema)
 
 
+def _streamed(df: DataFrame, by: list[str], order: list[str], start, step, schema: StructType) -> DataFrame:
+    """Each group's rows in order through ``step(state, row) -> value or None``, which sees one row at a time; rows with a value stay.
+
+    ``start()`` makes the state of a group. A task holds one batch and one state, however large the group is.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for rows in batches:
+            values = []
+            for own, row in zip(zip(*(rows[c] for c in by)), rows[order].itertuples(index=False, name=None)):
+                if own != key:
+                    key, state = own, start()
+                values.append(step(state, row))
+            kept = [v is not None for v in values]
+            out = rows[kept]
+            if len(schema.fields) > len(rows.columns):
+                out = out.assign(**{schema.fields[-1].name: [v for v in values if v is not None]})
+            yield out
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
 def disjoint_subset(df: DataFrame, by: list[str], start: str, end: str, tie: str) -> DataFrame:
     """The most intervals of a group that share no point inside: always the one that ends first, and starts after the last."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, keep, last = rows.sort_values([end, start, tie]), [], float("-inf")
-        for i, (a, b) in enumerate(zip(rows[start], rows[end])):
-            if a >= last:
-                keep.append(i)
-                last = b
-        return rows.iloc[keep]
+    def step(last: list, row: tuple):
+        if row[1] < last[0]:
+            return None
+        last[0] = row[0]
+        return True
 
-    return _per_group(df, by, fold, df.schema)
+    return _streamed(df, by, [end, start, tie], lambda: [float("-inf")], step, df.schema)
 
 
 def greedy_dice_dedup(df: DataFrame, by: list[str], start: str, end: str, tie: str, limit: float) -> DataFrame:
@@ -161,37 +193,42 @@ def greedy_dice_dedup(df: DataFrame, by: list[str], start: str, end: str, tie: s
 
 
 def gap_span_clusters(df: DataFrame, by: list[str], at: str, tie: str, gap: float, span: float) -> DataFrame:
-    """Clusters in order of time; a new one starts after a gap, or when the cluster would span too much. Streams a sorted group."""
+    """Clusters in order of time; a new one starts after a gap, or when the cluster would span too much."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, first, last, number = None, 0.0, 0.0, 0
-        for rows in batches:
-            out = []
-            for own, t in zip(zip(*(rows[c] for c in by)), rows[at]):
-                if own != key:
-                    key, first, number = own, t, 0
-                elif t - last > gap or t - first > span:
-                    first, number = t, number + 1
-                last = t
-                out.append(number)
-            yield rows.assign(cluster=out)
+    def step(state: dict, row: tuple) -> int:
+        t = row[0]
+        if not state:
+            state.update(first=t, number=0)
+        elif t - state["last"] > gap or t - state["first"] > span:
+            state.update(first=t, number=state["number"] + 1)
+        state["last"] = t
+        return state["number"]
 
-    schema = StructType([*df.schema.fields, StructField("cluster", LongType())])
-    return df.repartition(*by).sortWithinPartitions(*by, at, tie).mapInPandas(run, schema)
+    return _streamed(df, by, [at, tie], dict, step, StructType([*df.schema.fields, StructField("cluster", LongType())]))
 
 
-def greedy_insert(new: DataFrame, existing: DataFrame, by: list[str], start: str, end: str, tie: str, limit: float) -> DataFrame:
-    """New intervals, in order, that have no Dice coefficient above ``limit`` with an existing one or one inserted before."""
-    both = existing.select(*by, start, end, tie).withColumn("__new", F.lit(False)).unionByName(new.select(*by, start, end, tie).withColumn("__new", F.lit(True)))
+def greedy_insert(new: DataFrame, existing: DataFrame, by: list[str], start: str, end: str, tie: str, limit: float, cell: float = 24.0) -> DataFrame:
+    """New intervals, in order of start, end and tie, that have no Dice coefficient above ``limit`` with an existing one or one inserted before.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept = list(zip(rows.loc[~rows["__new"], start], rows.loc[~rows["__new"], end]))
-        fresh, out = rows[rows["__new"]].sort_values([start, end, tie]), []
-        for i, (a, b) in enumerate(zip(fresh[start], fresh[end])):
-            close = any((b - a + d - c) > 0 and 2 * max(0.0, min(b, d) - max(a, c)) / (b - a + d - c) > limit for c, d in kept)
-            if not close:
-                kept.append((a, b))
-                out.append(i)
-        return fresh.iloc[out]
-
-    return _per_group(both, by, fold, both.schema).drop("__new")
+    Existing intervals are matched by cells; then the rest is streamed in order. Only inserted
+    intervals that have not ended yet can be close to a later one, so only those are held. tie tells
+    intervals that are equal otherwise apart; ``cell`` is near the usual length of the intervals.
+    """
+    fresh = new.select(*by, start, end, tie)
+    x = fresh.select(*(F.col(c).alias(f"__{c}") for c in (start, end, tie)), *by)
+    y = existing.select(*by, F.col(start).alias("__c"), F.col(end).alias("__d"))
+    pairs = interval_join(x, y, by, (f"__{start}", f"__{end}"), ("__c", "__d"), cell)
+    close = pairs.where(dice(F.col(f"__{start}"), F.col(f"__{end}"), F.col("__c"), F.col("__d")) > limit)
+    taken = close.select(*by, *(F.col(f"__{c}").alias(c) for c in (start, end, tie))).distinct()
+    open_ = fresh.join(taken, [*by, start, end, tie], "left_anti")
+
+    def step(held: list, row: tuple):
+        a, b = row[0], row[1]
+        held[:] = [(c, d) for c, d in held if d > a]
+        for c, d in held:
+            if (b - a + d - c) > 0 and 2 * max(0.0, min(b, d) - max(a, c)) / (b - a + d - c) > limit:
+                return None
+        held.append((a, b))
+        return True
+
+    return _streamed(open_, by, [start, end, tie], list, step, open_.schema).select(*fresh.columns)

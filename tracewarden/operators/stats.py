@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StructType
 
 from tracewarden.functions.scalars import bin_of
+from tracewarden.operators.ranks import quantiles
 
 
 def binned(df: DataFrame, ts: str, minutes: int, keys: list[str], aggs: list[Column]) -> DataFrame:
@@ -22,6 +26,53 @@ def pivoted(df: DataFrame, keys: list[str], name: str, names: list[str], value:
     return df.groupBy(*keys).agg(*out)
 
 
+#: Names of numeric columns that tell of traffic, and endings of counters, whose change counts.
+TRAFFIC, COUNTERS = r"(?i)_flow_|^(?:dns_|web_|auth_|elephant_)", ("_total", "_sum", "_count")
+
+
+def traffic_columns(df: DataFrame) -> list[str]:
+    """The numeric columns whose name tells of traffic."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and re.search(TRAFFIC, f.name)]
+
+
+def traffic_wide(df: DataFrame, keys: list[str], kind: str, kinds: list[str]) -> DataFrame:
+    """Mean and maximum of each traffic column per keys and kind, one flat column traffic_kind_column_mean (max) for each of the given kinds."""
+    out = []
+    for k in kinds:
+        for c in traffic_columns(df):
+            own = F.when(F.col(kind) == k, F.col(c))
+            out += [F.avg(own).alias(f"traffic_{k}_{c}_mean"), F.max(own).alias(f"traffic_{k}_{c}_max")]
+    return df.groupBy(*keys).agg(*out)
+
+
+def flat_names(df: DataFrame) -> DataFrame:
+    """Columns of structs as columns of their own, named by both with an underscore."""
+    out = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, StructType):
+            out += [F.col(f"`{f.name}`.`{x.name}`").alias(f"{f.name}_{x.name}") for x in f.dataType.fields]
+        else:
+            out.append(F.col(f"`{f.name}`"))
+    return df.select(*out)
+
+
+def states(rows: DataFrame, keys: list[str], state: str, order: list[str], best: str) -> DataFrame:
+    """(keys, best, last): the first state of each key, or ``best`` if it ever had that; and the last one."""
+    place = F.struct(*order)
+    ever = F.bool_or(F.lower(state) == best.lower())
+    return rows.groupBy(*keys).agg(F.when(ever, F.lit(best)).otherwise(F.min_by(state, place)).alias("best"), F.max_by(state, place).alias("last"))
+
+
+def rebuilt_rates(rows: DataFrame, keys: list[str], step: str, amount: str, span: str, inside: tuple[int, int], before: tuple[int, int], least: float = 0.5) -> DataFrame:
+    """Rates per step inside a window against those before it, the ratio of mean positive spans, and an error rate of 1 where the rate fell below ``least`` of its baseline; keys with a baseline only."""
+    now, base = F.col(step).between(*inside), F.col(step).between(*before)
+    rate = lambda test, w: F.sum(F.when(test, F.col(amount))) / float(w[1] - w[0] + 1)
+    mean = lambda test: F.avg(F.when(test & (F.col(span) > 0), F.col(span)))
+    x = rows.groupBy(*keys).agg(rate(now, inside).alias("now"), rate(base, before).alias("base"), mean(now).alias("span"), mean(base).alias("span0")).where("base > 0 and now is not null")
+    ratio = F.col("now") / F.col("base")
+    return x.select(*keys, ratio.alias("rate_ratio"), (F.col("span") / F.col("span0")).alias("span_ratio"), F.when(ratio < least, 1.0).otherwise(0.0).alias("error_rate"))
+
+
 def frequent(df: DataFrame, name: str, k: int) -> DataFrame:
     """Rows of the ``k`` most frequent names (the least name among equals)."""
     top = df.groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(k).select(name)
@@ -53,7 +104,7 @@ def many_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def robust_deviation(df: DataFrame, columns: list[str], keys: list[str], k: int) -> DataFrame:
     """The ``k`` columns of each row that are furthest from their median, in interquartile ranges (one that is near 0 counts as 1)."""
     long = df.unpivot(keys, columns, "name", "value").where("value is not null")
-    scale = long.groupBy("name").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    scale = quantiles(long.select("name", "value"), "value", [0.25, 0.5, 0.75], ["name"])
     spread = F.col("q")[2] - F.col("q")[0]
     far = long.join(F.broadcast(scale), "name").withColumn("deviation", (F.col("value") - F.col("q")[1]) / F.when(F.abs(spread) < 1e-12, 1.0).otherwise(spread)).drop("q")
     return far.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs("deviation")), "name"))).where(F.col("rank") <= k)
@@ -114,8 +165,11 @@ def trailing_z(df: DataFrame, by: list[str], ts: str, value: str, hours: int, le
 
 def imputed_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls become the column's median; then mean 0 and population deviation 1 (a deviation of 0 counts as 1)."""
-    middle = df.agg(*(F.percentile(c, 0.5).alias(f"__m_{c}") for c in columns))
-    full = df.join(F.broadcast(middle))
-    filled = full.select(*(c for c in df.columns if c not in columns), *(F.coalesce(F.col(c), F.col(f"__m_{c}"), F.lit(0.0)).alias(c) for c in columns))
-    scale = filled.agg(*(F.avg(c).alias(f"__a_{c}") for c in columns), *(F.stddev_pop(c).alias(f"__s_{c}") for c in columns))
-    return filled.join(F.broadcast(scale)).select(*(c for c in df.columns if c not in columns), *(((F.col(c) - F.col(f"__a_{c}")) / F.when(F.col(f"__s_{c}") > 0, F.col(f"__s_{c}")).otherwise(1.0)).alias(c) for c in columns))
+    kept = [c for c in df.columns if c not in columns]
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "name", "value")
+    middles = quantiles(long, "value", [0.5], ["name"]).select("name", F.col("q")[0].alias("m"))
+    middle = middles.agg(F.map_from_entries(F.collect_list(F.struct("name", "m")))).scalar()  # one entry for each column
+    filled = df.withColumn("__m", middle).select(*kept, *(F.coalesce(F.col(c), F.col("__m")[c], F.lit(0.0)).alias(c) for c in columns))
+    scale = filled.agg(F.struct(*(F.avg(c).alias(f"a_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns))).scalar()
+    deviation = {c: F.when(F.col(f"__s.s_{c}") > 0, F.col(f"__s.s_{c}")).otherwise(1.0) for c in columns}
+    return filled.withColumn("__s", scale).select(*kept, *(((F.col(c) - F.col(f"__s.a_{c}")) / deviation[c]).alias(c) for c in columns))

@@ -88,14 +88,14 @@ def unanimous_rate(spark, d):
     return g.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("k") == 1, 1.0).otherwise(0.0)), 6).alias("unanimous"), F.round(F.avg(1 / F.col("k")), 6).alias("agreement"))
 
 
-KINDS = {"local": "error", "temporal": "view", "propagation": "click", "routing": "purchase", "log": "signup"}
-TERMS = f"{EVENTS}, tm AS (SELECT user_id % 10 AS grp, user_id, " + ", ".join(f"max(value) FILTER (event_type = '{k}') / 200 AS {n}" for n, k in KINDS.items()) + ", count(*) / 500.0 AS flow, CAST(NULL AS DOUBLE) AS quality FROM ev GROUP BY 1, 2)"
-ROOT = " + ".join(f"coalesce({n}, 0) * {w}" for n, w in D.ROOT_WEIGHTS.items())
+KINDS = {"local_anomaly": "error", "temporal_priority": "view", "outgoing_propagation": "click", "incoming_propagation": "purchase", "cross_modal_support": "signup"}
+TERMS = f"{EVENTS}, tm AS (SELECT user_id % 10 AS grp, user_id, " + ", ".join(f"max(value) FILTER (event_type = '{k}') / 200 AS {n}" for n, k in KINDS.items()) + ", count(*) / 500.0 AS predictive_explanation, CAST(NULL AS DOUBLE) AS contradiction FROM ev GROUP BY 1, 2)"
+ROOT = "0.2 * coalesce(local_anomaly, 0) + 0.25 * coalesce(temporal_priority, 0) + 0.2 * coalesce(outgoing_propagation, 0) + 0.2 * coalesce(cross_modal_support, 0) + 0.15 * coalesce(predictive_explanation, 0) - 0.15 * coalesce(incoming_propagation, 0) - 0.15 * coalesce(contradiction, 0)"
 
 
 def terms(spark, d) -> DataFrame:
     own = [(F.max(F.when(F.col("event_type") == k, F.col("value"))) / 200).alias(n) for n, k in KINDS.items()]
-    return events(spark, d).groupBy((F.col("user_id") % 10).alias("grp"), "user_id").agg(*own, (F.count("*") / 500.0).alias("flow")).withColumn("quality", F.lit(None).cast("double"))
+    return events(spark, d).groupBy((F.col("user_id") % 10).alias("grp"), "user_id").agg(*own, (F.count("*") / 500.0).alias("predictive_explanation")).withColumn("contradiction", F.lit(None).cast("double"))
 
 
 @query(f"WITH {TERMS} SELECT user_id, " + ", ".join(f"round(coalesce({n}, 0), 6) AS {n}" for n in D.ROOT_WEIGHTS) + " FROM tm")
@@ -115,9 +115,9 @@ def contradiction_net(spark, d):
     return c.select("user_id", F.round(D.net_support(F.col("sup"), F.col("con")), 6).alias("net"))
 
 
-@query(f"WITH {TERMS} SELECT user_id, CASE WHEN local >= 0.8 THEN 'firewall' WHEN routing >= 0.7 THEN 'routing' WHEN flow >= 0.2 THEN 'service' WHEN temporal >= 0.6 THEN 'link' ELSE 'resource' END AS category FROM tm")
+@query(f"WITH {TERMS} SELECT user_id, CASE WHEN local_anomaly >= 0.8 THEN 'firewall' WHEN incoming_propagation >= 0.7 THEN 'routing' WHEN predictive_explanation >= 0.2 THEN 'service' WHEN temporal_priority >= 0.6 THEN 'link' ELSE 'resource' END AS category FROM tm")
 def category_chain(spark, d):
-    rules = [(F.col("local") >= 0.8, "firewall"), (F.col("routing") >= 0.7, "routing"), (F.col("flow") >= 0.2, "service"), (F.col("temporal") >= 0.6, "link")]
+    rules = [(F.col("local_anomaly") >= 0.8, "firewall"), (F.col("incoming_propagation") >= 0.7, "routing"), (F.col("predictive_explanation") >= 0.2, "service"), (F.col("temporal_priority") >= 0.6, "link")]
     return terms(spark, d).select("user_id", D.chain([(t, F.lit(c)) for t, c in rules], F.lit("resource")).alias("category"))
 
 
@@ -183,7 +183,15 @@ def iforest_score(spark, d):
     return models.isolation_forest(_features(spark, d).withColumn("key", F.col("user_id") * 1_000_000 + F.col("h")), ["m", "mx", "n"], "key").select("user_id", "h", F.round("iforest_score", 6).alias("score"))
 
 
-@query()
+#: The first principal axis of (m, mx, n) by power iteration.
+AXIS = f"""{POINTS}, mu AS (SELECT avg(m) AS a, avg(mx) AS b, avg(n) AS c FROM pt), cv AS (SELECT avg((m - a) * (m - a)) AS aa, avg((m - a) * (mx - b)) AS ab, avg((m - a) * (n - c)) AS ac, avg((mx - b) * (mx - b)) AS bb, avg((mx - b) * (n - c)) AS bc, avg((n - c) * (n - c)) AS cc FROM pt, mu),
+pw AS (SELECT 0 AS i, 1.0::DOUBLE AS x, 1.0::DOUBLE AS y, 1.0::DOUBLE AS z UNION ALL SELECT i + 1, p / l, q / l, s / l FROM (SELECT i, p, q, s, sqrt(p * p + q * q + s * s) AS l FROM (SELECT i, aa * x + ab * y + ac * z AS p, ab * x + bb * y + bc * z AS q, ac * x + bc * y + cc * z AS s FROM pw, cv WHERE i < 400))), ax AS (SELECT x, y, z FROM pw WHERE i = 400)"""
+
+
+@query(
+    f"WITH RECURSIVE {AXIS}, d AS (SELECT user_id, h, m - a AS p, mx - b AS q, n - c AS s, (m - a) * x + (mx - b) * y + (n - c) * z AS t, x, y, z FROM pt, mu, ax) "
+    "SELECT user_id, h, round(((p - t * x) * (p - t * x) + (q - t * y) * (q - t * y) + (s - t * z) * (s - t * z)) / 3, 6) AS score FROM d"
+)
 def recon_error_score(spark, d):
     return models.reconstruction_error(_features(spark, d), ["m", "mx", "n"], 1).select("user_id", "h", F.round("recon_error", 6).alias("score"))
 
@@ -216,7 +224,7 @@ def stability_first(spark, d):
     return x.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("grp")), 6))
 
 
-@query()
+@query(f"WITH {LISTS} SELECT grp, day, a[1] AS pick, TRUE AS legal FROM ls")
 def llm_closed_set(spark, d):
     """Prompts from candidate lists, answered by the offline backend, parsed and checked against the closed set."""
     x = lists(spark, d).withColumn("prompt", F.concat_ws("\n", F.lit("Which element is the cause?"), F.concat(F.lit("candidates: "), F.array_join("a", ", "))))

@@ -21,7 +21,7 @@ INCIDENTS = ISLANDS + ", inc AS (SELECT *, user_id % 10 AS grp, user_id * 10000
 def unusual(spark, d) -> DataFrame:
     """Points at or above the upper quartile of the unit rank, numbered by island."""
     scored = ranks.rank_to_unit(points(spark, d), "m", "s")
-    marked = scored.withColumn("__a", scored.agg(F.percentile("s", 0.75)).scalar()).where(F.col("s") >= F.col("__a")).drop("__a")
+    marked = scored.withColumn("__a", ranks.at_quantile(scored, "s", 0.75)).where(F.col("s") >= F.col("__a")).drop("__a")
     return intervals.islands(marked, ["user_id"], "h", F.lit(GAP))
 
 
@@ -135,7 +135,7 @@ def _firsts(spark, d) -> DataFrame:
     return events(spark, d).where("value > 120").groupBy((F.col("user_id") % 10).alias("grp"), "user_id").agg(F.min("us").alias("first_us"), F.min(prio).alias("prio"))
 
 
-@query(f"{ORDER}, r AS (SELECT grp, user_id, dense_rank() OVER (PARTITION BY grp ORDER BY prio) AS r, count(*) OVER (PARTITION BY grp) AS n FROM o), m AS (SELECT *, max(r) OVER (PARTITION BY grp) AS m FROM r) SELECT grp, user_id, round(CASE WHEN n = 1 THEN 1.0 WHEN m = 1 THEN 0.0 ELSE (r - 1) / (m - 1) END, 6) AS priority FROM m")
+@query(f"{ORDER}, r AS (SELECT grp, user_id, dense_rank() OVER (PARTITION BY grp ORDER BY prio) AS r, count(*) OVER (PARTITION BY grp) AS n FROM o), m AS (SELECT *, max(r) OVER (PARTITION BY grp) AS m FROM r) SELECT grp, user_id, round(CASE WHEN n = 1 THEN 1.0 WHEN m = 1 THEN 0.0 ELSE 1 - (r - 1) / (m - 1) END, 6) AS priority FROM m")
 def rank_priority(spark, d):
     return ranks.rank_priority(_firsts(spark, d), ["grp"], "prio", "priority").select("grp", "user_id", F.round("priority", 6).alias("priority"))
 

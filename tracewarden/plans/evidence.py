@@ -153,7 +153,8 @@ def device_gate(spark, d):
 @query(f"WITH {EVENTS}, q AS (SELECT user_id % 10 AS grp, quantile_cont(value, 0.99) AS a FROM ev GROUP BY 1) SELECT DISTINCT user_id % 10 AS grp, us FROM ev JOIN q ON q.grp = user_id % 10 WHERE value >= a")
 def high_points(spark, d):
     e = events(spark, d).withColumn("grp", F.col("user_id") % 10)
-    return e.join(e.groupBy("grp").agg(F.percentile("value", 0.99).alias("a")), "grp").where("value >= a").select("grp", "us").distinct()
+    edge = ranks.quantiles(e.select("grp", "value"), "value", [0.99], ["grp"]).select("grp", F.col("q")[0].alias("a"))
+    return e.join(edge, "grp").where("value >= a").select("grp", "us").distinct()
 
 
 @query(f"WITH {EVENTS}, c AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value END AS configured, CASE WHEN event_id % 3 = 1 THEN least(1, value / 200) END AS normal, value / 100 AS combined FROM ev) SELECT event_id, round(coalesce(configured, 1 - normal, combined), 6) AS score FROM c")
@@ -193,12 +194,9 @@ def incident_counts(spark, d):
 
 @query(f"WITH {EVENTS}, s AS (SELECT DISTINCT user_id % 6 AS router, k % 6 AS neighbour FROM ev WHERE user_id % 6 <> k % 6), o AS (SELECT r.router, i.neighbour AS id FROM (SELECT DISTINCT router FROM s) r, (SELECT DISTINCT neighbour FROM s) i WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.router = r.router AND s.neighbour = i.neighbour)) SELECT router, min(id) AS id FROM o GROUP BY 1 HAVING count(*) = 1")
 def router_id_resolution(spark, d):
-    """A router whose neighbours report all ids but one has that one: ids it omits are all ids less those it names."""
+    """A router whose neighbours report all ids but one has that one."""
     s = events(spark, d).select((F.col("user_id") % 6).alias("router"), (F.col("k") % 6).alias("neighbour")).where("router <> neighbour").distinct()
-    ids = s.agg(F.collect_set("neighbour")).scalar()
-    named = s.groupBy("router").agg(F.collect_set("neighbour").alias("named")).withColumn("ids", ids)
-    omitted = named.withColumn("omitted", F.array_except("ids", "named")).where(F.size("omitted") == 1)
-    return omitted.select("router", F.element_at("omitted", 1).alias("id"))
+    return graph.omitted_ids(s)
 
 
 @query(f"WITH {POINTS}, w AS (SELECT user_id, h, m, mx, row_number() OVER (ORDER BY mx - m DESC, user_id, h) AS r FROM pt) SELECT count(*) AS n, round(corr(m, mx), 5) AS r, round(min(mx - m), 6) AS least FROM w WHERE r <= 60")

@@ -74,6 +74,54 @@ def counter_rate(spark, d):
     return stats.counter_rate(rows, ["user_id"], "t", "event_id", "c").select("event_id", F.round("rate", 6).alias("rate"))
 
 
+#: Messages made of the texts at hand: names and times of the table with words of the trade by number.
+WORDED = """CASE event_id % 12 WHEN 0 THEN 'BGP neighbor 10.0.0.' || k || ' Down' WHEN 1 THEN 'ospf6 interface eth' || k || ' flapping' WHEN 2 THEN 'no route to 2001:db8::' || k WHEN 3 THEN 'request timed out after ' || k || ' ms' WHEN 4 THEN 'connection refused by "peer ' || k || '"'
+WHEN 5 THEN 'link comes up, cost ' || k WHEN 6 THEN 'ACL rule ' || k || ' update: default_route removed' WHEN 7 THEN 'auth failed, code deadbeef' || k WHEN 8 THEN 'warning: disk  memory  cpu' WHEN 9 THEN 'dns lookup of web port ' || k WHEN 10 THEN 'deny drop blackhole' ELSE 'all quiet at ' || k END"""
+
+
+def messages(spark, d):
+    """Events as messages of a network's log."""
+    k, own = F.col("k").cast("string"), F.col("event_id") % 12
+    texts = (
+        ("BGP neighbor 10.0.0.", " Down"), ("ospf6 interface eth", " flapping"), ("no route to 2001:db8::", ""), ("request timed out after ", " ms"), ('connection refused by "peer ', '"'), ("link comes up, cost ", ""),
+        ("ACL rule ", " update: default_route removed"), ("auth failed, code deadbeef", ""), ("warning: disk  memory  cpu", None), ("dns lookup of web port ", ""), ("deny drop blackhole", None),
+    )
+    out = None
+    for i, (head, tail) in enumerate(texts):
+        text = F.lit(head) if tail is None else F.concat(F.lit(head), k, F.lit(tail))
+        out = F.when(own == i, text) if out is None else out.when(own == i, text)
+    return events(spark, d).withColumn("message", out.otherwise(F.concat(F.lit("all quiet at "), k)))
+
+
+MESSAGES = f"{EVENTS}, ms AS (SELECT *, {WORDED} AS message FROM ev)"
+
+
+def _count_of(word):
+    return f"count(*) FILTER (contains(lower(message), '{word}'))::DOUBLE AS kw_{word}"
+
+
+@query(
+    f"WITH {MESSAGES} SELECT user_id, {_count_of('bgp')}, {_count_of('ospf')}, {_count_of('route')}, {_count_of('link')}, {_count_of('interface')}, {_count_of('acl')}, {_count_of('deny')}, {_count_of('drop')}, {_count_of('cpu')}, {_count_of('memory')}, {_count_of('disk')}, {_count_of('dns')}, "
+    f"{_count_of('web')}, {_count_of('auth')}, {_count_of('timeout')}, {_count_of('error')}, {_count_of('fail')}, {_count_of('down')}, {_count_of('flap')}, {_count_of('blackhole')}, {_count_of('port')}, {_count_of('rule')}, {_count_of('default_route')}, count(*) AS n FROM ms GROUP BY 1"
+)
+def log_keyword_counts(spark, d):
+    """The counted keywords of each element's messages."""
+    flagged = messages(spark, d).select("user_id", *S.keyword_flags(F.col("message")))
+    return flagged.groupBy("user_id").agg(*(F.sum(f"kw_{k}").alias(f"kw_{k}") for k in S.KEYWORDS), F.count("*").alias("n"))
+
+
+@query(f"""WITH {MESSAGES}, t1 AS (SELECT event_id, regexp_replace(message, '"[^"]*"', '<str>', 'g') AS t FROM ms), t2 AS (SELECT event_id, regexp_replace(t, '\\b\\d{{1,3}}(\\.\\d{{1,3}}){{3}}\\b', '<ip>', 'g') AS t FROM t1), t3 AS (SELECT event_id, regexp_replace(t, '\\b([0-9a-fA-F]{{0,4}}:){{2,}}[0-9a-fA-F]{{0,4}}\\b', '<ipv6>', 'g') AS t FROM t2),
+t4 AS (SELECT event_id, regexp_replace(t, '\\b[0-9a-fA-F]{{6,}}\\b', '<hex>', 'g') AS t FROM t3) SELECT event_id, trim(regexp_replace(regexp_replace(t, '\\b\\d+\\b', '<n>', 'g'), '\\s+', ' ', 'g')) AS template FROM t4""")
+def log_templates(spark, d):
+    return messages(spark, d).select("event_id", S.template(F.col("message")).alias("template"))
+
+
+@query(f"""WITH {MESSAGES}, c AS (SELECT *, lower(message) AS low FROM ms) SELECT event_id, CASE WHEN contains(low, 'flap') THEN 'flap' WHEN regexp_matches(low, 'unavailable|no route|unreachable') THEN 'unavailable' WHEN regexp_matches(low, 'timeout|timed out') THEN 'timeout' WHEN contains(low, 'refused') THEN 'refused'
+WHEN contains(low, 'down') THEN 'down' WHEN regexp_matches(low, 'up|established') THEN 'up' WHEN regexp_matches(low, 'change|update|added|removed|withdraw') THEN 'change' WHEN regexp_matches(low, 'err|could not|failed|failure') THEN 'error' WHEN contains(low, 'warn') THEN 'warning' WHEN k <= 3 THEN 'error' ELSE 'info' END AS class FROM c""")
+def log_classes(spark, d):
+    return messages(spark, d).select("event_id", S.semantic_class(F.col("message"), F.col("k")).alias("class"))
+
+
 FLAGS = ", ".join(f"sum(CASE WHEN contains(lower(text), '{k}') THEN 1.0 ELSE 0.0 END)::DOUBLE AS kw_{k}" for k in S.KEYWORDS)
 
 
@@ -185,7 +233,7 @@ def rank_to_unit(spark, d):
 @query(f"WITH {POINTS}, {UNIT}, q AS (SELECT quantile_cont(s, 0.75) AS a, quantile_cont(s, 0.9) AS b FROM u) SELECT user_id, h, CASE WHEN s >= b THEN 2 WHEN s >= a THEN 1 ELSE 0 END AS pseudo FROM u, q")
 def pseudo_labels(spark, d):
     scored = ranks.rank_to_unit(points(spark, d), "m", "s")
-    edges = scored.agg(F.percentile("s", F.array(F.lit(0.75), F.lit(0.9))).alias("q")).scalar()
+    edges = ranks.quantiles(scored, "s", [0.75, 0.9]).scalar()
     marked = scored.withColumn("q", edges)
     return marked.select("user_id", "h", F.when(F.col("s") >= F.col("q")[1], 2).when(F.col("s") >= F.col("q")[0], 1).otherwise(0).alias("pseudo"))
 
@@ -193,7 +241,7 @@ def pseudo_labels(spark, d):
 @query(f"WITH {POINTS}, {UNIT}, q AS (SELECT quantile_cont(s, 0.75) AS a FROM u) SELECT user_id, h, round(CASE WHEN s >= a THEN 0.1 ELSE 1 - s / 2 END, 6) AS weight FROM u, q")
 def second_stage_weights(spark, d):
     scored = ranks.rank_to_unit(points(spark, d), "m", "s")
-    marked = scored.withColumn("a", scored.agg(F.percentile("s", 0.75)).scalar())
+    marked = scored.withColumn("a", ranks.at_quantile(scored, "s", 0.75))
     return marked.select("user_id", "h", F.round(F.when(F.col("s") >= F.col("a"), 0.1).otherwise(1 - F.col("s") / 2), 6).alias("weight"))
 
 
@@ -224,7 +272,7 @@ def name_normalisation(spark, d):
     return rows.select("c_custkey", node.alias("node"), S.element_id(F.col("region"), node).alias("element"), S.alias_key(F.col("raw")).alias("alias"), S.snake(F.col("raw")).alias("snake"), S.host_of(F.concat("raw", F.lit(":9100"))).alias("host"), S.repaired_element_id(twice, F.col("region")).alias("repaired"))
 
 
-@query("SELECT event_id, round(greatest(0, least(1, value / 100)), 6) AS clamped, round(CASE WHEN value > 0 THEN least(1, ln(1 + value) / ln(1 + 197362.0)) ELSE 0 END, 6) AS saturation, CASE WHEN value IS NULL OR value / 100 <= 0 THEN 'none' WHEN value / 100 <= 0.25 THEN 'low' WHEN value / 100 <= 0.5 THEN 'mid' WHEN value / 100 <= 0.75 THEN 'high' ELSE 'extreme' END AS level FROM events")
+@query("SELECT event_id, round(greatest(0, least(1, value / 100)), 6) AS clamped, round(CASE WHEN value > 0 THEN least(1, ln(1 + value) / ln(1 + 197362.0)) ELSE 0 END, 6) AS saturation, CASE WHEN value IS NULL OR value / 100 < 0.25 THEN 'none' WHEN value / 100 < 0.5 THEN 'low' WHEN value / 100 < 0.75 THEN 'mid' WHEN value / 100 < 1 THEN 'high' ELSE 'extreme' END AS level FROM events")
 def scalar_levels(spark, d):
     v = F.col("value")
     return table(spark, d, "events", "event_id", "value").select("event_id", F.round(S.clamped(v / 100), 6).alias("clamped"), F.round(S.log_saturation(v), 6).alias("saturation"), S.level(v / 100).alias("level"))

@@ -214,13 +214,24 @@ def greedy_dice_dedup(spark, d):
     return intervals.greedy_dice_dedup(own, ["grp", "sa"], "a", "b", "id", 0.6).select("grp", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {EVENTS}, x AS (SELECT user_id % 10 AS grp, event_id, us / {HOUR}::DOUBLE AS t FROM ev WHERE value > 60), o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY t, event_id) AS r FROM x), "
+    "f AS (SELECT grp, r, event_id, t AS first, t AS last, 0::BIGINT AS cluster FROM o WHERE r = 1 UNION ALL SELECT o.grp, o.r, o.event_id, CASE WHEN o.t - f.last > 6 OR o.t - f.first > 24 THEN o.t ELSE f.first END, o.t, f.cluster + (o.t - f.last > 6 OR o.t - f.first > 24)::BIGINT "
+    "FROM f JOIN o ON o.grp = f.grp AND o.r = f.r + 1) SELECT grp, event_id, cluster FROM f"
+)
 def gap_span_clusters(spark, d):
     rows = events(spark, d).where("value > 60").select((F.col("user_id") % 10).alias("grp"), "event_id", (F.col("us") / F.lit(float(HOUR))).alias("t"))
     return intervals.gap_span_clusters(rows, ["grp"], "t", "event_id", 6.0, 24.0).select("grp", "event_id", "cluster")
 
 
-@query()
+DICE_OF = "CASE WHEN (x.b - x.a) + (y.b - y.a) > 0 THEN 2 * greatest(0, least(x.b, y.b) - greatest(x.a, y.a)) / ((x.b - x.a) + (y.b - y.a)) ELSE 0 END"
+
+
+@query(
+    f"WITH RECURSIVE {EVENTS}, {PRED}, {TRUTH}, o AS (SELECT x.grp, x.id, x.a, x.b, row_number() OVER (PARTITION BY x.grp ORDER BY x.a, x.b, x.id) AS r FROM tu x WHERE NOT EXISTS (SELECT 1 FROM pr y WHERE y.grp = x.grp AND {DICE_OF} > 0.5)), "
+    "f AS (SELECT grp, 0::BIGINT AS r, []::STRUCT(id BIGINT, a DOUBLE, b DOUBLE)[] AS kept FROM (SELECT DISTINCT grp FROM o) UNION ALL SELECT o.grp, o.r, CASE WHEN list_any_value(list_filter(f.kept, lambda y: (o.b - o.a) + (y.b - y.a) > 0 AND 2 * greatest(0, least(o.b, y.b) - greatest(o.a, y.a)) / ((o.b - o.a) + (y.b - y.a)) > 0.5)) IS NULL "
+    "THEN list_append(f.kept, {'id': o.id::BIGINT, 'a': o.a::DOUBLE, 'b': o.b::DOUBLE}) ELSE f.kept END FROM f JOIN o ON o.grp = f.grp AND o.r = f.r + 1), l AS (SELECT grp, arg_max(kept, r) AS kept FROM f GROUP BY 1) SELECT grp, unnest(kept).id AS id FROM l"
+)
 def greedy_insertion(spark, d):
     return intervals.greedy_insert(truth(spark, d), predictions(spark, d), ["grp"], "a", "b", "id", 0.5).select("grp", "id")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden.plans.registry import query
-from tracewarden.session import shared_dir
+from tracewarden.session import work_dir
 from tracewarden.sources.tables import table
 from tracewarden.streaming import streams
 
@@ -20,7 +20,7 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 def _done(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Runs the stream over all input and returns what it last published."""
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = streams.published(stream, f"{base}/out", f"{base}/state", mode)
     q.awaitTermination()
     out = spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
