@@ -264,3 +264,9 @@ def one_memory(df: DataFrame, order: str, vector: str, tau: float, block: int =
     before = totals.withColumn("before", F.sum("n").over(Window.partitionBy("template").orderBy("range")) - F.col("n")).drop("n")
     number = F.row_number().over(Window.partitionBy("template", "range").orderBy(order))
     return placed.withColumn("number", number).join(before, ["template", "range"]).select(*other, order, "template", (F.col("number") + F.col("before")).alias("hits"))
+
+
+def memory_stats(assigned: DataFrame) -> DataFrame:
+    """One row on a memory from the templates (template) that rows met: templates, hits, most (of one), singles."""
+    each = assigned.groupBy("template").agg(F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("templates"), F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.max("n").alias("most"), F.count_if(F.col("n") == 1).alias("singles"))

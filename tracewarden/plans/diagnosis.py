@@ -351,3 +351,89 @@ def incident_edges(spark, d):
 def point_topology_edges(spark, d):
     p = points(spark, d).select(F.concat(F.lit("n"), F.col("user_id") % 14).alias("node"), "h").distinct()
     return graph.within(wires(spark, d), p, "h")
+
+
+@query(f"WITH {FACTS}, n AS (SELECT DISTINCT incident, node FROM fa), kd AS (SELECT src, dst, 'wire' AS kind FROM ed WHERE src <> dst), u AS (SELECT dst AS node, string_agg(DISTINCT src || '(wire)', ', ' ORDER BY src || '(wire)') AS up FROM kd GROUP BY 1), w AS (SELECT src AS node, string_agg(DISTINCT dst || '(wire)', ', ' ORDER BY dst || '(wire)') AS down FROM kd GROUP BY 1) SELECT incident, string_agg('- ' || n.node || ': upstream=[' || coalesce(up, 'none') || '], downstream=[' || coalesce(down, 'none') || ']', chr(10) ORDER BY n.node) AS text FROM n LEFT JOIN u ON u.node = n.node LEFT JOIN w ON w.node = n.node GROUP BY 1")
+def dependency_context(spark, d):
+    from tracewarden.operators.dialogue import dependency_text
+
+    inc = facts(spark, d).groupBy("incident").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    return dependency_text(inc, wires(spark, d).where("src <> dst").withColumn("kind", F.lit("wire")))
+
+
+@query(f"WITH {EVENTS}, v AS (SELECT user_id, count(*) AS hits, max(us) AS last FROM ev GROUP BY 1) SELECT count(*) AS templates, sum(hits)::BIGINT AS hits, max(hits) AS most, count(*) FILTER (hits = 1) AS singles FROM v")
+def memory_statistics(spark, d):
+    """What a memory of templates holds: their number, all hits, the most of one, and those met once."""
+    from tracewarden.operators.models import memory_stats
+
+    return memory_stats(events(spark, d).select(F.col("user_id").alias("template")))
+
+
+def _model_rows(spark, d) -> DataFrame:
+    return points(spark, d).select("user_id", "h", (F.col("user_id") * 1_000_000 + F.col("h")).alias("key"), "m", "mx", F.col("n").cast("double").alias("n"))
+
+
+@query()
+def vae_score(spark, d):
+    """Reconstruction error of the variational autoencoder, as a unit rank."""
+    from tracewarden.operators import neural
+    from tracewarden.session import settled
+
+    x = settled(neural.autoencoder_error(_model_rows(spark, d), ["m", "mx", "n"], "key", epochs=5), "vae")
+    return ranks.rank_to_unit(x, "recon_error", "score").select("user_id", "h", "score")
+
+
+@query()
+def second_vae_score(spark, d):
+    """The same of a model that learns calm points only: those whose first score is above the threshold weigh nothing."""
+    from tracewarden.operators import neural
+    from tracewarden.session import settled
+
+    x = ranks.rank_to_unit(_model_rows(spark, d), "m", "first")
+    x = settled(x.withColumn("w", neural.second_stage_weight(F.col("first"), "threshold")), "weighted")
+    y = settled(neural.autoencoder_error(x, ["m", "mx", "n"], "key", "w", hidden=32, latent=4, epochs=5), "second")
+    return ranks.rank_to_unit(y, "recon_error", "score").select("user_id", "h", "score")
+
+
+@query()
+def graph_normal_score(spark, d):
+    """How normal each point is by itself, the points before and after it, and those of adjacent elements."""
+    from tracewarden.operators import neural
+
+    x = ranks.rank_to_unit(_model_rows(spark, d), "m", "s")
+    w = Window.partitionBy("user_id").orderBy("h")
+    edges = x.select(F.lag("key").over(w).alias("src"), F.col("key").alias("dst")).where("src is not null")
+    q = ranks.quantiles(x, "s", [0.75, 0.9]).scalar()
+    label = F.when(F.col("s") <= F.col("q")[0], 1.0).when(F.col("s") >= F.col("q")[1], 0.0)
+    nodes = x.withColumn("q", q).select(F.col("key").alias("node"), "m", "mx", "n", label.alias("label"), (1 - F.col("s")).alias("score"))
+    return neural.graph_normal_score(nodes, edges, ["m", "mx", "n"], epochs=5)
+
+
+@query()
+def learned_root_scores(spark, d):
+    """Root scores of candidates from a network that learns the heuristic target and the ranking within incidents."""
+    from tracewarden.operators import neural
+
+    c = candidates_of(spark, d).withColumn("key", F.xxhash64("incident", "node"))
+    names = list(D.ROOT_WEIGHTS)
+    c = ranks.min_max(c.withColumn("raw", 0.65 * F.col("local_anomaly") + 0.35 * F.col("temporal_priority")), ["incident"], "raw", "target").withColumn("category", (F.col("incident") % 5).cast("int"))
+    return neural.root_scores(c.select("incident", "node", "key", *names, "target", "category"), names, "key", "incident", "target", "category", epochs=20).select("incident", "node", "root_score")
+
+
+@query()
+def forecast_error(spark, d):
+    """The error of a self-supervised forecaster over each element's points."""
+    from tracewarden.operators import neural
+
+    return neural.forecast_error(points(spark, d).select("user_id", "h", "m", "mx"), ["user_id"], "h", ["m", "mx"], epochs=3)
+
+
+@query()
+def text_vector_norms(spark, d):
+    """Vectors of messages: their length, and how alike each is to the vector of its template."""
+    from tracewarden.operators import models, neural
+    from tracewarden.plans.features import messages
+
+    v = neural.text_vectors(messages(spark, d).select("event_id", "message", S.template(F.col("message")).alias("template")), "message", out="x")
+    v = neural.text_vectors(v, "template", out="y")
+    return v.select("event_id", F.round(models.norm(F.col("x")), 6).alias("norm"), F.round(models.dot(F.col("x"), F.col("y")), 6).alias("sim"))
