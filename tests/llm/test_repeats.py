@@ -28,20 +28,29 @@ def corpus(seed: int) -> list[tuple[int | None, str | None]]:
     return rows
 
 
-def brute_bytes(rows, least):
+def covered(texts: list[bytes], least: int) -> list[bytes]:
+    """For each text a mask of the bytes in strings of ``least`` bytes that also start elsewhere."""
     seen = defaultdict(int)
-    data = [(i, (t or "").encode()) for i, t in rows]
-    for _, b in data:
+    for b in texts:
         for s in range(len(b) - least + 1):
             seen[b[s : s + least]] += 1
-    out = {}
-    for i, b in data:
+    out = []
+    for b in texts:
         gone = bytearray(len(b))
         for s in range(len(b) - least + 1):
             if seen[b[s : s + least]] > 1:
                 gone[s : s + least] = b"\1" * least
-        spans = len(re.findall(b"\1+", bytes(gone)))
-        out[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+        out.append(bytes(gone))
+    return out
+
+
+def brute_bytes(rows, least, passage, words):
+    texts = [(t or "").encode() for _, t in rows]
+    out = {}
+    for (i, _), b, gone, more in zip(rows, texts, covered(texts, least), covered(texts, passage)):
+        told = [m.span() for m in re.finditer(b"\1+", more) if len(re.findall(rb"[^\x20\x09-\x0D]+", b[m.start() : m.end()])) > words]
+        left = hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()
+        out[i] = (len(b), sum(gone), len(re.findall(b"\1+", gone)), left, len(told), sum(y - x for x, y in told))
     return out
 
 
@@ -60,12 +69,38 @@ def brute_words(rows, least):
 
 
 @pytest.mark.parametrize("bands", [repeats.BANDS, ((3, 5), (12, 1))])
-@pytest.mark.parametrize("least,gram", [(40, 10), (60, 30)])
-def test_bytes(spark, least, gram, bands):
+@pytest.mark.parametrize("least,passage,gram", [(40, 25, 10), (60, 60, 30)])
+def test_bytes(spark, least, passage, gram, bands):
     rows = corpus(least)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, k1 int").repartition(5)
-    got = {r[0]: tuple(r[1:]) for r in suffix_array_dedup.digests(docs, least, gram=gram, bands=bands).collect()}
-    assert got == brute_bytes(rows, least)
+    got = {r[0]: tuple(r[1:]) for r in suffix_array_dedup.digests(docs, least, passage=passage, words=6, gram=gram, bands=bands).collect()}
+    assert got == brute_bytes(rows, least, passage, 6)
+
+
+def test_production_lengths(spark, data_dir):
+    """The registered parameters on real rows, near copies of them, and one very long text."""
+    r = random.Random(7)
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{data_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    for i in range(30):
+        text = rows[i][1] or ""
+        a = r.randrange(len(text) + 1)
+        rows.append((10_000 + i, text[:a] + f" edit{i} " + text[a:]))
+    rows.append((20_000, " ".join(t or "" for _, t in rows[:25]) + " " + " ".join(r.choices(WORDS, k=30_000))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for bands in (repeats.BANDS, ((3, 16), (9, 1))):
+        got = {x[0]: tuple(x[1:]) for x in suffix_array_dedup.digests(docs, bands=bands).collect()}
+        assert got == brute_bytes(rows, 400, 240, 50)
+        got = {x[0]: tuple(x[1:]) for x in substring_dedup.digests(docs, bands=bands).collect()}
+        assert got == brute_words(rows, 20)
+
+
+def test_passages_are_cleaned(spark):
+    passage = " ".join(f"w{i}" for i in range(100, 170))
+    docs = spark.createDataFrame([(1, "first " + passage, "x"), (2, passage + " second", "y"), (3, "other", "z")], "doc_id long, text string, lo0 string")
+    assert len(passage) < 400
+    got = {r.doc_id: (r.text, r.lo0) for r in suffix_array_dedup.cleaned(docs, words=50).collect()}
+    assert got == {1: ("first ", "x"), 2: (" second", "y"), 3: ("other", "z")}
+    assert {r.text for r in suffix_array_dedup.cleaned(docs).collect()} == {r.text for r in docs.collect()}
 
 
 @pytest.mark.parametrize("bands", [repeats.BANDS, ((3, 2), (12, 1))])

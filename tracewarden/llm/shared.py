@@ -1,9 +1,7 @@
-"""What the operators share: the shared folder, text batches and connected components."""
+"""What the operators share: keys of documents, text batches and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,39 +10,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewarden.operators import graph
+from tracewarden.session import removed, settled, work_dir
+
+__all__ = ["NO_ID", "components", "joined_bytes", "keyed", "partitions", "removed", "retext", "sliced", "work_dir", "written"]
+
+#: ``settled`` under the name that the operators use.
+written = settled
+
 #: Stands for a null doc_id in join keys; a null id never meets another id.
 NO_ID = -(2**63)
 #: Texts are worked on in slices of about so many bytes, whatever the batch size is.
 SLICE_BYTES = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; one is made only where the cluster names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='tracewarden-')}"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage is cut and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tw-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a ``written`` table that no later step reads."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -95,31 +74,5 @@ def retext(docs: DataFrame, change: Callable[[str], str]) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` (a, b: long) reaches.
-
-    Alternates two steps until nothing changes: every node links its larger neighbours to its
-    smallest neighbour, then its smaller neighbours likewise. Both only group by node and take
-    a minimum, so a node with very many neighbours is pre-aggregated before the shuffle and
-    joined back by a join that adaptive execution may split. The number of rounds grows with
-    the logarithm of the longest path. Each round is written to the shared folder.
-    Nulls and self-links are ignored; an empty input gives an empty result.
-    """
-    spark = edges.sparkSession
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    for _ in range(rounds):
-        both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.where("a > b").groupBy("a").agg(F.min("b").alias("m"))
-        small = large.where("a > b").join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        new = written(small, "edges")
-        told = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        removed(spark, now)
-        now = new
-        if told == mark:
-            break
-        mark = told
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select("b", "b").toDF("node", "root")).groupBy("node").agg(F.min("root").alias("root"))
+    """(node, root): the smallest node that each node of ``edges`` (a, b: long) reaches; see ``graph.components``."""
+    return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), rounds).withColumnRenamed("component", "root")

@@ -7,8 +7,9 @@ length of the longest match that ends there, and is then added to it. Words in m
 of the threshold or more are spans to remove. The automata are routed to the segments that can
 match them, together in one shuffle, since their total size grows with the corpus.
 
-Nulls count as texts without words. Windows of rows that share an id and a text are one
-document's. Empty tables give empty results; other columns are ignored.
+Nulls count as texts without words; very long texts are cut into segments like all others. Windows
+of rows that share an id and a text are one document's. Empty tables give empty results; other
+columns are ignored, or kept by ``cleaned``, whatever their names are.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracewarden.llm import repeats
-from tracewarden.llm.suffix_array_dedup import group_repeats, split_by_group
 
 GRAM = 7
 
@@ -70,33 +70,24 @@ class SuffixAutomaton:
             yield size
 
 
-def repeated_spans(cut: DataFrame, least: int) -> DataFrame:
-    """(k1, k2, lo, hi) of all words in a window of ``least`` words that also starts earlier."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in repeats.groups(batches, "grp"):
-            out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for rows in split_by_group(table):
-                members, occurrences = group_repeats(rows)
-                shard, texts = SuffixAutomaton(), []
-                for (body, _), occ in zip(members, occurrences):
-                    texts.append((sorted(set(zip(occ[::3], occ[2::3], occ[1::3]))), body.split(b" ")))
-                texts.sort(key=lambda x: x[0][0])
-                for n, (places, words) in enumerate(texts):
-                    for k1, start, k2 in places[1:]:
-                        out.setdefault((k1, k2), []).append((start, start + len(words)))
-                    if n:
-                        k1, start, k2 = places[0]
-                        ends = [j for j, size in enumerate(shard.matches(words), 1) if size >= least]
-                        if ends:
-                            out.setdefault((k1, k2), []).extend((start + a, start + b) for a, b in repeats.merged([j - least for j in ends], ends))
-                    if n + 1 < len(texts):
-                        for word in words:
-                            shard.add(word)
-                        shard.add(n)
-            yield repeats.span_rows(out)
-
-    return repeats.sorted_groups(cut).mapInArrow(run, repeats.SPANS)
+def _judge(least: int):
+    """For ``repeats.spans``: words in a window of ``least`` words that also starts earlier."""
+
+    def run(members: list[repeats.Member]) -> Iterator[tuple[int, list, list]]:
+        order = sorted(range(len(members)), key=lambda m: min(repeats.places_of(members[m].places)))
+        shard = SuffixAutomaton()
+        for n, m in enumerate(order):
+            words = members[m].body.split(b" ")
+            ends = [j for j, size in enumerate(shard.matches(words), 1) if size >= least] if n else []
+            first = repeats.merged([j - least for j in ends], ends)
+            if first or members[m].count > 1:
+                yield m, [first], [[(0, len(words))]]
+            if n + 1 < len(order):
+                for word in words:
+                    shard.add(word)
+                shard.add(n)
+
+    return run
 
 
 def _edit(text: bytes, spans: list[tuple[int, int]]) -> tuple:
@@ -109,22 +100,28 @@ def _edit(text: bytes, spans: list[tuple[int, int]]) -> tuple:
     return len(words), sum(b - a for a, b in spans), kept
 
 
-def spans_by_document(docs: DataFrame, least: int = 20, gram: int = GRAM, bands: tuple = repeats.BANDS, keep: bool = False) -> tuple[DataFrame, DataFrame]:
-    texts, cut = repeats.segments(docs, least, min(gram, least // 2), by_word=True, bands=bands, keep=keep)
-    return texts, repeated_spans(cut, least)
+def spans_by_text(docs: DataFrame, least: int = 20, gram: int = GRAM, bands: tuple = repeats.BANDS, keep: bool = False) -> tuple[repeats.Segments, DataFrame]:
+    """(segments, spans) for ``repeats.finished``."""
+    found = repeats.segments(docs, (least,), min(gram, least // 2), by_word=True, bands=bands, keep=keep)
+    return found, repeats.spans(found, _judge(least), 1)
 
 
 def digests(docs: DataFrame, least: int = 20, **how) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words, joined by one space."""
 
-    def edit(text: bytes, spans: list[tuple[int, int]]) -> tuple:
+    def edit(text: bytes, copied: bool, spans: list[tuple[int, int]]) -> tuple:
         n, gone, kept = _edit(text, spans)
-        return n, gone, hashlib.sha256(b" ".join(kept)).hexdigest()
+        first = n, gone, hashlib.sha256(b" ".join(kept)).hexdigest()
+        return first, (n, n, hashlib.sha256(b"").hexdigest()) if n >= least else None  # all words of later copies stand earlier
 
-    return repeats.finished(*spans_by_document(docs, least, **how), edit, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return repeats.finished(*spans_by_text(docs, least, **how), edit, "n_words long, n_removed long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, least: int = 20, **how) -> DataFrame:
     """``docs`` with the kept words of each text, joined by one space. All columns stay."""
-    texts, spans = spans_by_document(docs, least, keep=True, **how)
-    return repeats.replaced(texts, spans, lambda text, own: b" ".join(_edit(text, own)[2]).decode()).select(docs.columns)
+
+    def edit(text: bytes, copied: bool, spans: list[tuple[int, int]]) -> tuple:
+        n, _, kept = _edit(text, spans)
+        return (b" ".join(kept).decode(),), ("",) if n >= least else None
+
+    return repeats.replaced(*spans_by_text(docs, least, keep=True, **how), edit).select(docs.columns)

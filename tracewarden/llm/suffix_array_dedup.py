@@ -7,8 +7,9 @@ anchor are sorted too and scanned likewise; a cluster whose left extensions diff
 members come from more than one child interval is a maximal repeat, with all its occurrences
 and not just neighbours. Identical suffixes count once, with a weight.
 
-Nulls count as empty texts; texts shorter than the threshold stay as they are; repeated rows
-are repeats of each other; empty tables give empty results; other columns are ignored.
+Nulls count as empty texts; texts shorter than the threshold stay as they are; very long ones are
+cut into segments like all others; repeated rows are repeats of each other; empty tables give
+empty results; other columns are ignored, or kept by ``cleaned``, whatever their names are.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import DataFrame
 
 from tracewarden.llm import repeats
 
-GRAM = 100
+GRAM = 64
+#: Passages: runs of repeated strings of so many bytes, with more than so many words. Fifty words of running text are longer.
+PASSAGE_BYTES, PASSAGE_WORDS = 240, 50
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -64,67 +67,47 @@ def maximal_repeats(members: list[tuple[bytes, int]], least: int) -> Iterator[tu
                 yield depth + more, [(m, members[m][1] - more) for m in by_left[c:d]]
 
 
-def group_repeats(rows: pa.Table) -> tuple[list[tuple[bytes, int]], list[list[int]]]:
-    """The different segments of a group and the occurrences of each."""
-    found: dict[tuple[bytes, int], list[int]] = {}
-    for body, at, occ in zip(*(rows.column(c).to_pylist() for c in ("body", "at", "occ"))):
-        found.setdefault((body, at), []).extend(occ)
-    return list(found), list(found.values())
+def _judge(least: int, wide: int):
+    """For ``repeats.spans``: level 0 has the bytes in repeats of ``wide`` bytes or more, level 1 those in repeats of ``least`` or more."""
 
+    def run(members: list[repeats.Member]) -> Iterator[tuple[int, list, list]]:
+        found: list[list[tuple[int, int]]] = [[(0, len(m.body))] if m.count > 1 else [] for m in members]
+        if len(members) > 1:
+            for length, where in maximal_repeats([(m.body, m.at) for m in members], least):
+                for m, start in where:
+                    found[m].append((start, start + length))
+        for m, own in enumerate(found):
+            if own:
+                levels = [repeats.merged(*zip(*some)) if (some := [x for x in own if x[1] - x[0] >= n]) else [] for n in (wide, least)]
+                yield m, levels, levels
 
-def split_by_group(table: pa.Table) -> Iterator[pa.Table]:
-    keys = table.column("grp").to_numpy()
-    edges = [0, *((keys[1:] != keys[:-1]).nonzero()[0] + 1).tolist(), len(keys)]
-    for a, b in zip(edges, edges[1:]):
-        yield table.slice(a, b - a)
-
-
-def repeated_spans(cut: DataFrame, least: int) -> DataFrame:
-    """(k1, k2, lo, hi) of all bytes in a repeat of ``least`` bytes or more; spans may overlap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in repeats.groups(batches, "grp"):
-            out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for rows in split_by_group(table):
-                members, occurrences = group_repeats(rows)
-                spans: list[list[tuple[int, int]]] = [[(0, len(body))] if len(occ) > 3 else [] for (body, _), occ in zip(members, occurrences)]
-                if len(members) > 1:
-                    for length, found in maximal_repeats(members, least):
-                        for m, start in found:
-                            spans[m].append((start, start + length))
-                for own, occ in zip(spans, occurrences):
-                    for lo, hi in repeats.merged(*zip(*own)) if own else ():
-                        for k1, k2, start in zip(occ[::3], occ[1::3], occ[2::3]):
-                            out.setdefault((k1, k2), []).append((start + lo, start + hi))
-            yield repeats.span_rows(out)
-
-    return repeats.sorted_groups(cut).mapInArrow(run, repeats.SPANS)
+    return run
 
 
 def repeat_groups(docs: DataFrame, least: int = 400, gram: int = GRAM) -> DataFrame:
     """The maximal repeats themselves: grp long, length int, and occurrences of (doc key, start), per anchor group.
 
-    A repeat that reaches beyond one anchor's windows is reported in one piece per anchor.
+    A repeat that reaches beyond one anchor's windows is reported in one piece per anchor. Texts that are equal as
+    a whole count once, under their least id. Segments of
+    k-grams that are seen more often than the first of ``repeats.BANDS`` are told with their first
+    place and the number of places, by ``places``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in repeats.groups(batches, "grp"):
-            out = []
-            for rows in split_by_group(table):
-                grp = rows.column("grp")[0].as_py()
-                members, occurrences = group_repeats(rows)
-                where = [list(zip(o[::3], o[2::3])) for o in occurrences]
-                out += [(grp, len(body), w) for (body, _), w in zip(members, where) if len(w) > 1]
-                for length, found in maximal_repeats(members, least) if len(members) > 1 else ():
-                    out.append((grp, length, [(k1, start + s) for m, s in found for k1, start in where[m]]))
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64())]))
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64())]))
+        for grp, members in repeats.member_groups(batches):
+            where = [[p[:2] for p in repeats.places_of(m.places)] for m in members]
+            out = [(len(m.body), w, m.count) for m, w in zip(members, where) if m.count > 1]
+            for length, found in maximal_repeats([(m.body, m.at) for m in members], least) if len(members) > 1 else ():
+                out.append((length, [(k1, start + s) for m, s in found for k1, start in where[m]], sum(members[m].count for m, _ in found)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([[{"doc_id": a, "start": b} for a, b in x[2]] for x in out], kind)],
-                ["grp", "length", "occurrences"],
+                [pa.array([grp] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([[{"doc_id": a, "start": b} for a, b in x[1]] for x in out], kind), pa.array([x[2] for x in out], pa.int64())],
+                ["grp", "length", "occurrences", "places"],
             )
 
-    _, cut = repeats.segments(docs, least, min(gram, least // 2), by_word=False)
-    return repeats.sorted_groups(cut).mapInArrow(run, "grp long, length int, occurrences array<struct<doc_id: long, start: long>>")
+    found = repeats.segments(docs, (least,), min(gram, least // 2), by_word=False)
+    schema = "grp long, length int, occurrences array<struct<doc_id: long, start: long>>, places long"
+    return repeats.sorted_groups(found.cold).mapInArrow(run, schema).unionByName(repeats.sorted_groups(found.hot).mapInArrow(run, schema))
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -136,22 +119,48 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def spans_by_document(docs: DataFrame, least: int = 400, gram: int = GRAM, bands: tuple = repeats.BANDS, keep: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(texts by key, spans by key) for ``repeats.finished``."""
-    texts, cut = repeats.segments(docs, least, min(gram, least // 2), by_word=False, bands=bands, keep=keep)
-    return texts, repeated_spans(cut, least)
+def passages(text: bytes, spans: list[tuple[int, int]], words: int = PASSAGE_WORDS) -> list[tuple[int, int]]:
+    """The spans with more than ``words`` words or parts of words."""
+    return [(a, b) for a, b in spans if sum(1 for w in repeats.SPLIT.split(text[a:b]) if w) > words]
+
+
+def spans_by_text(docs: DataFrame, least: int = 400, passage: int = PASSAGE_BYTES, gram: int = GRAM, bands: tuple = repeats.BANDS, keep: bool = False) -> tuple[repeats.Segments, DataFrame]:
+    """(segments, spans) for ``repeats.finished``: level 0 at ``least`` bytes, level 1 at ``passage`` bytes (which is not above ``least``)."""
+    passage = min(passage, least)
+    found = repeats.segments(docs, tuple(sorted({passage, least})), min(gram, passage // 2), by_word=False, bands=bands, keep=keep)
+    return found, repeats.spans(found, _judge(passage, least), 2)
+
 
+def _with_copies(text: bytes, copied: bool, spans: list, least: int) -> list:
+    """A text that other rows have too is one repeat, if it is long enough."""
+    return [(0, len(text))] if copied and len(text) >= least else spans
 
-def digests(docs: DataFrame, least: int = 400, **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is left of each document."""
 
-    def edit(text: bytes, spans: list[tuple[int, int]]) -> tuple:
-        return len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(text, spans)).hexdigest()
+def digests(docs: DataFrame, least: int = 400, passage: int = PASSAGE_BYTES, words: int = PASSAGE_WORDS, **how) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is left of each document; n_passages and n_passage_bytes.
 
-    return repeats.finished(*spans_by_document(docs, least, **how), edit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    The last two are of maximal runs of bytes that are each in a string of ``passage`` bytes which
+    also starts elsewhere, as far as they have more than ``words`` words. They remove nothing.
+    """
+
+    def edit(text: bytes, copied: bool, spans: list, more: list) -> tuple:
+        spans = _with_copies(text, copied, spans, least)
+        told = passages(text, _with_copies(text, copied, more, min(passage, least)), words)
+        return (len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(text, spans)).hexdigest(), len(told), sum(b - a for a, b in told)), None
+
+    return repeats.finished(*spans_by_text(docs, least, passage, **how), edit, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
+
+
+def cleaned(docs: DataFrame, least: int = 400, words: int | None = None, passage: int = PASSAGE_BYTES, **how) -> DataFrame:
+    """``docs`` with what is left of each text; a character that a span cuts through goes whole. All columns stay.
+
+    words: passages of more words, as in ``digests``, go too.
+    """
+    passage = least if words is None else min(passage, least)
 
+    def edit(text: bytes, copied: bool, spans: list, more: list) -> tuple:
+        spans, more = _with_copies(text, copied, spans, least), _with_copies(text, copied, more, passage)
+        gone = spans if words is None else repeats.merged(*zip(*spans, *passages(text, more, words)))
+        return (_kept(text, gone).decode(errors="ignore"),), None
 
-def cleaned(docs: DataFrame, least: int = 400, **how) -> DataFrame:
-    """``docs`` with what is left of each text; a character that a span cuts through goes whole. All columns stay."""
-    texts, spans = spans_by_document(docs, least, keep=True, **how)
-    return repeats.replaced(texts, spans, lambda text, own: _kept(text, own).decode(errors="ignore")).select(docs.columns)
+    return repeats.replaced(*spans_by_text(docs, least, passage, keep=True, **how), edit).select(docs.columns)
