@@ -74,3 +74,30 @@ def test_whole_texts(spark):
                 texts.append((name, f.read()))
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.license for r in license_scan.scan(docs).collect()} == {i: name for i, (name, _) in enumerate(texts)}
+
+
+def test_adjacent_words_and_long_lines(spark):
+    """Spellings next to each other, notices behind long decoration, and very long texts."""
+    texts = ["licence licence licence", "license  LICENSE license", "per cent per cent", "percent percent", "*" * 5000 + " Released under the MIT License. " + "-" * 90_000, MIT + " x" * 200_000]
+    docs = spark.createDataFrame([(i, t, "d", "k") for i, t in enumerate(texts)], "doc_id long, text string, digest string, known string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert got[0].digest == got[1].digest and got[2].digest == got[3].digest != got[0].digest
+    assert got[4].n_license_lines == 1 and got[4].license == "MIT" and got[5].license is None
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert sorted(map(tuple, got.values())) == sorted(con.execute(license_scan.oracle_sql()).fetchall())
+
+
+def test_whole_texts_in_changed_layout(spark):
+    """Case, punctuation, copyright lines and spellings do not matter to whole texts; one more sentence does."""
+    texts = [
+        ("BSD-3-Clause", "Copyright 1999 A. Nobody.\nCopyright (c) 2001 B. Nobody\n" + (BSD_2 + BSD_3 + BSD_END).lower().replace(",", " ;").replace("1.", "*").replace("2.", "*").replace("\n3.", "\n*")),
+        ("MIT", MIT.replace('"Software"', "''Software''").replace("sublicense", "sub-license").replace("NONINFRINGEMENT", "NON-INFRINGEMENT").replace(" ", "\t ")),
+        (None, MIT + "\nThe software may not be sold."),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    rows = license_scan.scan(docs).collect()
+    assert {r.doc_id: r.license for r in rows if r.doc_id} == {i: name for i, (name, _) in enumerate(texts) if i}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert sorted(map(tuple, rows), key=str) == sorted(con.execute(license_scan.oracle_sql()).fetchall(), key=str)

@@ -3,13 +3,14 @@
 A text is brought to a canonical form: lower case, lines that only state a copyright gone,
 punctuation and white space one space each, equivalent spellings made one. The form that is looked
 up also lacks titles and 'all rights reserved', and keeps sentences that wrap to a line which starts
-with 'copyright'; ``digest`` stays that of the plain form. The SHA-256 is joined to those of the known texts, whose number is fixed by the table below, so the known side may be
-broadcast. Single lines are looked up too, since notices of one line stand in longer texts; only
+with 'copyright'; ``digest`` stays that of the plain form. The SHA-256 is joined to those of the
+known texts, whose number is fixed by the table below, so the known side may be broadcast. Single lines are looked up too, since notices of one line stand in longer texts; only
 lines that match are grouped by document. Everything is DataFrame functions.
 
 Null texts count as empty and match nothing. Rows are joined by a hash of id and text, so rows
-that share an id keep their own results; repeated rows are treated alike. Empty tables give
-empty results; other columns are ignored.
+that share an id keep their own results; repeated rows are treated alike. Texts and lines of any
+length are looked up whole. Empty tables give empty results; other columns are ignored, whatever
+their names are.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ HOLDER_LINE = r"(?m)^[ \t#*/;-]*(?:copyright[ \t:]*(?:\(c\)|©|[\[<{(]?[ \t]*(?:
 RIGHTS_LINE = r"(?m)^[ \t#*/;-]*all rights reserved\.?[ \t*/\r]*$"
 TITLE_LINE = r"""(?m)^[ \t#*/;=(-]*(?:the )?(?:mit licen[cs]e(?: \(mit\))?|(?:expat|mit/expat) licen[cs]e|isc licen[cs]e(?: \(iscl?\))?|(?:bsd )?zero[- ]clause bsd licen[cs]e(?: \(0bsd\))?|bsd zero[- ]clause licen[cs]e(?: \(0bsd\))?|0bsd licen[cs]e|(?:(?:new|modified|revised|simplified|original) )?(?:bsd )?(?:[23]|two|three)[- ]clause (?:bsd )?(?:"?(?:new|revised|simplified)"?(?: or "?(?:new|revised|simplified|freebsd)"?)? )?licen[cs]e|(?:new |modified |revised |simplified )?bsd licen[cs]e)[.:)]*[ \t*/=\r]*$"""
 FORM_HINT = r"copyright|\(c\)|©|all rights reserved|licen[cs]e"
+LINE_HINT = "licen|spdx|copyright|permission"
 NO_SPACE = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 SPELLINGS = (
     ("licence", "license"),
@@ -111,10 +113,11 @@ DIGESTS = (
 
 
 def _words(plain: Column) -> Column:
-    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, NO_SPACE, " ")), F.lit(" "))
+    """Words with one space between them, spellings made equal; spaces are doubled meanwhile, so that every word has its own on either side."""
+    spaced = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(plain, NO_SPACE, " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
     for other, one in SPELLINGS:
-        spaced = F.replace(spaced, F.lit(f" {other} "), F.lit(f" {one} "))
-    return F.trim(spaced)
+        spaced = F.replace(spaced, F.lit(f" {other} ".replace(" ", "  ")[1:-1]), F.lit(f" {one} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.replace(spaced, F.lit("  "), F.lit(" ")))
 
 
 def canonical(text: Column) -> Column:
@@ -138,10 +141,6 @@ def known(spark) -> DataFrame:
     return table.select(F.sha2(looked_up(F.col("text")), 256).alias("known"), "license").unionAll(spark.createDataFrame(list(DIGESTS), "license string, known string").select("known", "license")).groupBy("known").agg(F.min("license").alias("license"))
 
 
-def longest_known() -> int:
-    return max(len(t) for _, t in KNOWN)
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the whole canonical text, license (of the whole text, or null), n_license_lines and line_licenses (sorted, comma-joined)."""
     spark = docs.sparkSession
@@ -149,33 +148,38 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), F.xxhash64("text").alias("k2"))
     whole = keyed.select("doc_id", "k1", "k2", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.sha2(looked_up(F.col("text")), 256).alias("known")).join(table, "known", "left")
-    # a known line cannot be longer than the longest known text and the characters that its canonical form drops
-    lines = keyed.select("k1", "k2", F.posexplode(F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= 4 * longest_known()) & F.lower(x).rlike("licen|spdx|copyright|permission"))).alias("line", "body"))
+    lines = keyed.select("k1", "k2", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(LINE_HINT))).alias("line", "body"))
     found = lines.select("k1", "k2", "line", F.sha2(looked_up(F.col("body")), 256).alias("known")).join(table, "known")
     by_text = found.groupBy("k1", "k2").agg(F.countDistinct("line").alias("n_license_lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
     return whole.join(by_text, ["k1", "k2"], "left").select("doc_id", "digest", "license", F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"), F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
 
 
 def oracle_sql() -> str:
-    """The same as DuckDB SQL."""
+    """The same as DuckDB SQL; spellings are changed word by word in a list first, then those of two words."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    single = " ".join(f"WHEN {quote(other)} THEN {quote(one)}" for other, one in SPELLINGS if " " not in other)
+    double = [(other, one) for other, one in SPELLINGS if " " in other]
 
-    def form(text: str) -> str:
+    def digest(text: str, *gone: str) -> str:
         out = f"lower({text})"
-        out = f"regexp_replace({out}, {quote(COPYRIGHT_LINE)}, '', 'g')"
-        out = f"' ' || trim(regexp_replace({out}, {quote(NO_SPACE)}, ' ', 'g'), ' ') || ' '"
-        for other, one in SPELLINGS:
-            out = f"replace({out}, ' {other} ', ' {one} ')"
-        return f"sha256(trim({out}, ' '))"
-
+        for line in gone:
+            out = f"regexp_replace({out}, {quote(line)}, '', 'g')"
+        words = f"list_filter(string_split(regexp_replace({out}, {quote(NO_SPACE)}, ' ', 'g'), ' '), lambda w: w <> '')"
+        out = f"'/' || list_aggregate(list_transform({words}, lambda w: CASE w {single} ELSE w END), 'string_agg', '//') || '/'"
+        for other, one in double:
+            out = f"replace({out}, {quote('/' + other.replace(' ', '//') + '/')}, {quote('/' + one.replace(' ', '//') + '/')})"
+        return f"sha256(replace(trim(coalesce({out}, ''), '/'), '//', ' '))"
+
+    form = lambda text: digest(text, HOLDER_LINE, RIGHTS_LINE, TITLE_LINE)
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
+    digests = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in DIGESTS)
     return f"""
-    WITH known AS (SELECT {form('t')} AS digest, min(l) AS license FROM (VALUES {values}) AS v(l, t) GROUP BY 1),
+    WITH known AS (SELECT known, min(license) AS license FROM (SELECT l AS license, {form('t')} AS known FROM (VALUES {values}) AS v(l, t) UNION ALL FROM (VALUES {digests}) AS w(license, known)) GROUP BY 1),
     docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-    whole AS (SELECT doc_id, {form('text')} AS digest FROM docs),
+    whole AS (SELECT doc_id, {digest('text', COPYRIGHT_LINE)} AS digest, {form('text')} AS known FROM docs),
     lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
     found AS (
       SELECT doc_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(license))), ',') AS names
-      FROM (SELECT doc_id, {form('line')} AS digest FROM lines WHERE regexp_matches(lower(line), 'licen|spdx|copyright|permission')) JOIN known USING (digest) GROUP BY doc_id)
+      FROM (SELECT doc_id, {form('line')} AS known FROM lines WHERE regexp_matches(lower(line), {quote(LINE_HINT)})) JOIN known USING (known) GROUP BY doc_id)
     SELECT w.doc_id, w.digest, k.license, coalesce(f.n, 0)::BIGINT AS n_license_lines, coalesce(f.names, '') AS line_licenses
-    FROM whole w LEFT JOIN known k USING (digest) LEFT JOIN found f ON f.doc_id = w.doc_id"""
+    FROM whole w LEFT JOIN known k USING (known) LEFT JOIN found f ON f.doc_id = w.doc_id"""
