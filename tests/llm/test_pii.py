@@ -54,7 +54,7 @@ def test_soup():
 
 def test_long_runs_are_linear():
     began = time.time()
-    for text in ("a" * 2_000_000, "1" * 2_000_000, "1." * 500_000, "a@" * 500_000, "+1" + " " * 1_000_000, "a-" * 500_000):
+    for text in ("a" * 2_000_000, "1" * 2_000_000, "1." * 500_000, "a@" * 500_000, "+1" + " " * 1_000_000, "a-" * 500_000, "token=" * 300_000, "DE89 " * 300_000, "key: " + "a1" * 500_000, "eyJ" * 300_000):
         pii.find(text)
     assert time.time() - began < 40
 
@@ -66,6 +66,26 @@ def test_validators_and_context():
     assert pii.masked("mail a@b.co or +1 555 010 9999 x", pii.find("mail a@b.co or +1 555 010 9999 x")) == "mail <EMAIL> or <PHONE> x"
 
 
+def test_ibans_have_their_countrys_length():
+    accounts = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606", "NO9386011117947", "MT84MALT011000012345MTLCAST001S", "NL91ABNA0417164300"]
+    spaced = [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in accounts]
+    for x in (*accounts, *spaced):
+        for text in (x, f"Account {x} AND more", f"({x}), {x} 12 NEXT"):
+            assert {text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"} == {x}, text
+        assert not [s for s in pii.find(f"{x}Z A{x} {x[:-1]}") if s.kind == "iban"]
+    assert not [s for s in pii.find("ZZ89370400440532013000") if s.kind == "iban"]
+
+
+def test_secrets():
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    text = f'words token = "{key}" and password: hunter2hunter2X9 then'
+    assert [text[s.start : s.end] for s in pii.find(text) if s.kind == "secret"] == [key, "hunter2hunter2X9"]
+    assert [s.kind for s in pii.find("AKIA" + "IOSFODNN7EXAMPLE1"[:16])] == ["secret"]
+    for clean in ("the token = is a word", "the secret: something", "password: aaaaaaaaaaaaaaaa1", "a key to the door: opened", "tokens = 1234567890123456"):
+        assert not [s for s in pii.find(clean) if s.kind == "secret"], clean
+    assert pii.masked(text, pii.find(text)) == 'words token = "<SECRET>" and password: <SECRET> then'
+
+
 def test_tables(spark):
     docs = spark.createDataFrame([(1, "a@b.co é +1 555 010 9999", 5), (2, None, 5), (2, None, 5), (None, "", 1)], "doc_id long, text string, spans int")
     rows = {r.doc_id: r for r in pii.report(docs).collect()}
