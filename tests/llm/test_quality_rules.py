@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
 from tracewarden.llm import quality_rules
@@ -39,8 +40,33 @@ def test_hosts(spark):
     assert quality_rules.verdicts(docs).count() == len(rows) and quality_rules.verdicts(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("failed", [0, 3])
+@pytest.mark.parametrize("failed", [0, 9])
 def test_one_host(spark, failed):
-    rows = spark.createDataFrame([("h", i < failed) for i in range(10)], "host string, base_failed boolean")
+    rows = spark.createDataFrame([("h", *[i < failed] * 5) for i in range(10)], "host string, " + ", ".join(f"{x} boolean" for x in quality_rules.RULES))
     row = quality_rules.host_verdicts(rows).first()
-    assert row.host_rate == pytest.approx(failed / 10) and not row.host_rejected
+    assert row.host_rate == pytest.approx(failed / 10) and not row.host_rejected and row.host_rule is None
+
+
+def test_hosts_are_rejected_by_rules_that_spare_documents(spark):
+    """Good documents by the base rules: hosts full of symbols, of repeated lines or of long words go, also if one holds a third of all rows."""
+    prose = lambda i: " ".join(f"w{(i * 7 + j * (i % 5 + 1)) % 997}" for j in range(80))
+    rows = [(i, prose(i), f"ok{i % 12}") for i in range(480)]
+    rows += [(1000 + i, prose(i) + " # $ % & | < > # $ %", "symbols") for i in range(300)]
+    rows += [(2000 + i, "\n".join([" ".join(f"w{i}x{j}y{k}" for k in range(6)) for j in range(14)] + ["see more"] * 8), "lines") for i in range(60)]
+    rows += [(3000 + i, prose(i).replace("w", "averyverylongword"), "long") for i in range(60)]
+    rows += [(4000, prose(1) + " # $ % & | < > # $ %", "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_rules.verdicts(docs).collect()
+    assert not any(r.base_failed for r in got)
+    rules = {r.doc_id // 1000: r.host_rule for r in got}
+    assert rules == {0: None, 1: "symbols", 2: "dup_lines", 3: "word_length", 4: None}
+    assert {r.doc_id for r in got if not r.kept} == {r[0] for r in rows if 1000 <= r[0] < 4000}
+
+
+def test_verdicts_against_sql(spark, data_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data_dir}/documents.parquet'")
+    result = con.execute(quality_rules.oracle_sql())
+    names = [c[0] for c in result.description]
+    got = quality_rules.verdicts(spark.read.parquet(f"{data_dir}/documents.parquet"))
+    assert got.columns == names and sorted(map(tuple, got.collect()), key=str) == sorted(result.fetchall(), key=str)
