@@ -121,7 +121,10 @@ def test_scalars(spark):
     assert one(spark, S.repaired_element_id(F.lit("r1-r1-cr-1"), F.lit("r1"))) == "r1-cr-1"
     assert one(spark, S.dice(*map(F.lit, (0.0, 2.0, 1.0, 3.0)))) == 0.5 and one(spark, S.dice(*map(F.lit, (1.0, 1.0, 1.0, 1.0)))) == 0.0
     assert one(spark, S.semantic_class(F.lit("Interface UPDATE"), F.lit(6))) == "up"
-    assert one(spark, S.template(F.lit('peer 10.0.0.1 "x y" took 12 ms'))) == "peer <ip> <str> took <num> ms"
+    assert one(spark, S.semantic_class(F.lit("Interface UPDATE: no route"), F.lit(6))) == "unavailable" and one(spark, S.semantic_class(F.lit("calm"), F.lit("x"))) == "info" and one(spark, S.semantic_class(F.lit("calm"), F.lit("2"))) == "error"
+    assert one(spark, S.template(F.lit('peer 10.0.0.1 "x y" fe80::1:2 deadbeef took  12 ms'))) == "peer <ip> <str> <ipv6> <hex> took <n> ms"
+    assert one(spark, S.level(F.lit(15.0), (5, 15, 35))) == "mid" and one(spark, S.level(F.lit(99.0), (5, 15, 35))) == "high" and one(spark, S.level(F.lit(None).cast("double"))) == "none"
+    assert one(spark, S.repaired_id(F.lit("xian-xian-fw"), F.lit(None).cast("string"), ("xian",)))["action"] == "unparsable"
     assert one(spark, S.label_map(F.lit('b="2",a="1"'))) == {"a": "1", "b": "2"}
 
 
@@ -214,7 +217,7 @@ def test_vector_search_covers_the_stated_queries(spark, data_dir):
     x = np.array([r.embedding for r in rows], dtype=float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     got = {}
-    for r in plans.QUERIES["vector_topk_cosine_whole"](spark, data_dir).orderBy("query_id", "rank").collect():
+    for r in plans.QUERIES["vector_topk_cosine"](spark, data_dir).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {int(q): ids[np.lexsort((ids, -np.round(x @ x[i], 12)))[:6]].tolist() for i, q in enumerate(ids) if q % 20 == 0}
     v = spark.createDataFrame([(int(i), x[n].tolist()) for n, i in enumerate(ids)], "vec_id long, vector array<double>")
@@ -265,7 +268,7 @@ def test_hybrid_search_ranks_all_rows(spark, data_dir):
     x = np.array([r.embedding for r in rows], dtype=float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     got = {}
-    for r in plans.QUERIES["hybrid_topk_whole"](spark, data_dir).orderBy("query_id", "rank").collect():
+    for r in plans.QUERIES["hybrid_similarity"](spark, data_dir).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {int(q): ids[np.lexsort((ids, -np.round(0.7 * (x @ x[i]) + 0.3 * np.exp(-np.abs(labels - labels[i])), 12)))[:6]].tolist() for i, q in enumerate(ids) if q % 20 == 0}
 
@@ -278,12 +281,12 @@ def test_trade_graph_has_all_pairs(spark, data_dir):
     nodes = {n for p in pairs for n in p}
     out = {n: {b for a, b in pairs if a == n} for n in nodes}
     run = lambda name: plans.QUERIES[name](spark, data_dir).collect()
-    assert {(r.node, r.n_out, r.n_in) for r in run("degree_whole")} == {(n, len(out[n]), sum(n in o for o in out.values())) for n in nodes} and max(map(len, out.values())) > 3
-    assert {(r.src, r.dst) for r in run("reciprocal_edges_whole")} == {(a, b) for a, b in pairs if a < b and (b, a) in pairs}
-    near = {(r.root, r.node) for r in run("bfs_downstream_whole") if r.depth == 1}
+    assert {(r.node, r.n_out, r.n_in) for r in run("degree")} == {(n, len(out[n]), sum(n in o for o in out.values())) for n in nodes} and max(map(len, out.values())) > 3
+    assert {(r.src, r.dst) for r in run("reciprocal_edges")} == {(a, b) for a, b in pairs if a < b and (b, a) in pairs}
+    near = {(r.root, r.node) for r in run("bfs_downstream") if r.depth == 1}
     assert near == pairs
     label = {n: n for n in nodes}
     for _ in nodes:
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
-    assert {(r.node, r.component) for r in run("trade_components_whole")} == set(label.items())
+    assert {(r.node, r.component) for r in run("trade_components")} == set(label.items())

@@ -60,33 +60,45 @@ def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame
     return pairs.join(roots.select("root"), "root", "left_semi").where("root <> node")
 
 
+#: Links from which on minima are written before they are joined back, so that a node with very many links may be split.
+MANY_LINKS = 1_000_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the least node that each node of (src, dst) reaches, ends of edges only.
 
     Alternates two steps until nothing changes: every node links its larger neighbours to its
     least neighbour, then its smaller neighbours likewise. Minima are combined before they are
-    shuffled and are written, so that the join which brings them back to the links has a table on
-    either side and adaptive execution may split a node with very many links. The number of rounds
+    shuffled. Of many links they are written too: the join that brings them back then has a table
+    on either side, and adaptive execution may split a node with very many links. The number of rounds
     grows with the logarithm of the longest path. Nulls and self-links are ignored; no edges give
     no rows.
     """
     spark = edges.sparkSession
     now = settled(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "links")
-    mark = None
+    told, spent = None, []
+    n = now.count()
     for _ in range(rounds):
+
+        def held(df: DataFrame) -> DataFrame:
+            if n < MANY_LINKS:
+                return df
+            spent.append(settled(df, "step"))
+            return spent[-1]
+
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = settled(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
-        large = settled(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct(), "large")
-        least = settled(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        low = held(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = held(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct())
+        least = held(large.groupBy("a").agg(F.min("b").alias("m")))
         ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
         new = settled(large.join(least, "a").select(ends.alias("e")).select("e.*").where("a <> b").distinct(), "links")
-        told = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        for old in (now, low, large, least):
+        before, told = told, new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        for old in (now, *spent):
             removed(spark, old)
-        now = new
-        if told == mark:
+        spent.clear()
+        now, n = new, told[0]
+        if told == before:
             break
-        mark = told
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select("b", "b").toDF("node", "component")).groupBy("node").agg(F.min("component").alias("component"))

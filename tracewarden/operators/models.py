@@ -13,42 +13,62 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tracewarden.session import settled
 
 
-def _tree(x: np.ndarray, r: np.random.Generator, depth: int, limit: int) -> tuple:
-    spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) else np.zeros(0, int)
-    if depth >= limit or len(x) <= 1 or not len(spread):
-        return (len(x),)
-    column = int(r.choice(spread))
-    cut = r.uniform(x[:, column].min(), x[:, column].max())
-    left = x[:, column] < cut
-    return column, cut, _tree(x[left], r, depth + 1, limit), _tree(x[~left], r, depth + 1, limit)
-
-
 def _path(n: int) -> float:
+    """The mean length of a path in a tree of so many rows."""
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def _depths(tree: tuple, x: np.ndarray, depth: int = 0) -> np.ndarray:
-    if len(tree) == 1:
-        return np.full(len(x), depth + _path(tree[0]))
-    column, cut, left, right = tree
-    out, low = np.empty(len(x)), x[:, column] < cut
-    out[low], out[~low] = _depths(left, x[low], depth + 1), _depths(right, x[~low], depth + 1)
-    return out
+def _tree(x: np.ndarray, r: np.random.Generator, limit: int) -> list[tuple[int, float, int, float]]:
+    """Nodes (column, cut, place of the lower child, length): column -1 is a leaf, the upper child comes after the lower one."""
+    nodes: list[tuple[int, float, int, float]] = [(-1, 0.0, 0, 0.0)]
+    todo = [(0, x, 0)]
+    while todo:
+        at, own, depth = todo.pop()
+        low, high = (own.min(axis=0), own.max(axis=0)) if len(own) else (np.zeros(0), np.zeros(0))
+        spread = np.flatnonzero(high > low)
+        if depth >= limit or len(own) <= 1 or not len(spread):
+            nodes[at] = (-1, 0.0, at, depth + _path(len(own)))
+            continue
+        column = int(r.choice(spread))
+        cut = r.uniform(low[column], high[column])
+        less = own[:, column] < cut
+        nodes[at] = (column, cut, len(nodes), 0.0)
+        todo += [(len(nodes), own[less], depth + 1), (len(nodes) + 1, own[~less], depth + 1)]
+        nodes += [(-1, 0.0, 0, 0.0)] * 2
+    return nodes
 
 
 def isolation_forest(df: DataFrame, columns: list[str], key: str, trees: int = 100, sample: int = 256, seed: int = 7) -> DataFrame:
-    """``df`` with iforest_score: higher is more unusual. Each tree sees ``sample`` rows, taken by a hash of the key, so the trees have a fixed size."""
+    """``df`` with iforest_score: higher is more unusual. Each tree sees ``sample`` rows, taken by a hash of the key, so the trees have a fixed size.
+
+    The trees are arrays; a batch goes down all of them at once, one level after another.
+    """
     rows = df.select(key, *columns).orderBy(F.xxhash64(F.col(key), F.lit(seed))).limit(trees * sample).toPandas()[columns].fillna(0.0).to_numpy(float)
     r = np.random.default_rng(seed)
     size = min(sample, len(rows))
-    forest = [_tree(rows[r.choice(len(rows), size, replace=False)], r, 0, int(np.ceil(np.log2(max(2, size))))) for _ in range(trees)] if size else []
-    held = df.sparkSession.sparkContext.broadcast((forest, _path(size) or 1.0))
+    limit = int(np.ceil(np.log2(max(2, size))))
+    grown = [_tree(rows[r.choice(len(rows), size, replace=False)], r, limit) for _ in range(trees)] if len(rows) else []
+    widest = max(map(len, grown), default=0)
+    packed = np.zeros((len(grown), widest), dtype=[("column", "i2"), ("cut", "f8"), ("child", "i4"), ("length", "f8")])
+    for own, nodes in zip(packed, grown):
+        own[: len(nodes)] = nodes
+    held = df.sparkSession.sparkContext.broadcast((packed, limit, _path(size) or 1.0))
 
     @F.pandas_udf("double")
     def score(*values: pd.Series) -> pd.Series:
-        own, norm = held.value
+        forest, levels, norm = held.value
         x = pd.concat(values, axis=1).fillna(0.0).to_numpy(float)
-        return pd.Series(2.0 ** (-np.mean([_depths(t, x) for t in own], axis=0) / norm) if own else np.zeros(len(x)))
+        if not len(forest) or not len(x):
+            return pd.Series(np.zeros(len(x)))
+        total, every = np.zeros(len(x)), np.arange(len(x))
+        for tree in forest:
+            column, cut, child = tree["column"], tree["cut"], tree["child"]
+            at = np.zeros(len(x), dtype=np.int32)
+            for _ in range(levels):
+                own = column[at]
+                at = np.where(own < 0, at, child[at] + (x[every, own] >= cut[at]))
+            total += tree["length"][at]
+        return pd.Series(2.0 ** (-total / len(forest) / norm))
 
     return df.withColumn("iforest_score", score(*(F.col(c).cast("double") for c in columns)))
 

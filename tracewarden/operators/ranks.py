@@ -30,41 +30,49 @@ def value_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> Dat
     return dealt.withColumn("within", within).join(before, mine).select(*keys, "v", "n", (F.col("within") + F.col("before")).alias("below"))
 
 
-def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
-    """(keys, q): exact interpolated quantiles as an array; no task holds the values of a key. No rows give no row, without keys a null."""
-    keys = keys or []
-    ranked = value_ranks(df, value, keys)
-    n = ranked.groupBy(*keys).agg(F.sum("n").alias("__n"))
-    if keys:
-        ranked = ranked.join(n.select(*(F.col(k).alias(f"__{k}") for k in keys), "__n"), reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))).drop(*(f"__{k}" for k in keys))
-    else:
-        ranked = ranked.withColumn("__n", n.scalar())
+def _at_places(ranked: DataFrame, keys: list[str], shares: list[float], n: Column, value: str = "v") -> DataFrame:
+    """(keys, q): values interpolated between the rows at the two places next to share * (n - 1)."""
 
     def at(place: Column) -> Column:
-        return F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col("v")))
+        return F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col(value)))
 
     parts = []
     for share in shares:
-        place = F.lit(share) * (F.col("__n") - 1)
-        low, high = F.floor(place), F.ceil(place)
-        parts += [at(low), at(high), F.max(place - low)]
+        place = F.lit(share) * (n - 1)
+        parts += [at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))]
     found = ranked.groupBy(*keys).agg(*(c.alias(f"__q{i}") for i, c in enumerate(parts)))
     q = [F.col(f"__q{i}") + (F.col(f"__q{i + 1}") - F.col(f"__q{i}")) * F.col(f"__q{i + 2}") for i in range(0, len(parts), 3)]
     return found.select(*keys, F.array(*q).alias("q"))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
+    """(keys, q): exact interpolated quantiles as an array; no task holds the values of a key. No rows give no row, without keys a null."""
+    keys = keys or []
+    ranked = value_ranks(df, value, keys)
+    total = ranked.groupBy(*keys).agg(F.sum("n").alias("__n"))
+    if not keys:
+        return _at_places(ranked.withColumn("__n", total.scalar()), keys, shares, F.col("__n"))
+    named = total.select(*(F.col(k).alias(f"__{k}") for k in keys), "__n")
+    mine = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return _at_places(ranked.join(named, mine).drop(*(f"__{k}" for k in keys)), keys, shares, F.col("__n"))
+
+
 def at_quantile(df: DataFrame, value: str, share: float) -> Column:
     """One quantile of a whole table as a scalar subquery."""
     return quantiles(df, value, [share]).select(F.col("q")[0].alias("a")).scalar()
 
 
-def rank_to_unit(df: DataFrame, value: str, out: str) -> DataFrame:
-    """``df`` with the average rank of ``value`` scaled to 0..1; null stays null and a single row gets 0."""
-    ranks = value_ranks(df, value)
-    total = ranks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).select("total").scalar()
+def rank_to_unit(df: DataFrame, value: str, out: str, shares: list[float] | None = None, edges: str = "edges") -> DataFrame:
+    """``df`` with the average rank of ``value`` scaled to 0..1; null stays null and a single row gets 0.
+
+    shares: also ``edges``, an array of these quantiles of ``out``, from the same counts.
+    """
+    ranked = value_ranks(df, value)
+    total = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).select("total").scalar()
     unit = (F.col("below") + (F.col("n") - 1) / F.lit(2.0)) / F.greatest(F.lit(1), F.col("total") - 1)
-    scaled = ranks.withColumn("total", total).select(F.col("v").alias("__v"), unit.alias(out))
-    return df.join(scaled, F.col(value) == F.col("__v"), "left").drop("__v")
+    scaled = ranked.withColumn("total", total).withColumn("unit", unit)
+    found = df.join(scaled.select(F.col("v").alias("__v"), F.col("unit").alias(out)), F.col(value) == F.col("__v"), "left").drop("__v")
+    return found.withColumn(edges, _at_places(scaled, [], shares, F.col("total"), "unit").scalar()) if shares else found
 
 
 def row_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:

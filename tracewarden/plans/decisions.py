@@ -135,40 +135,22 @@ def weighted_vote(spark, d):
 COS = "list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[]) * list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[]))"
 
 
-@query(f"WITH p AS (SELECT x.vec_id AS query_id, y.vec_id, {COS} AS sim FROM embeddings x, embeddings y WHERE x.vec_id % 100 = 0) SELECT query_id, vec_id, round(sim, 5) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id)::INTEGER AS rank FROM p QUALIFY rank <= 6")
-def vector_topk_cosine(spark, d):
-    v = table(spark, d, "embeddings", "vec_id", "embedding").withColumnRenamed("embedding", "vector")
-    queries = v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
-    return models.vector_top_k(queries, v, 6).select("query_id", "vec_id", F.round("sim", 5).alias("sim"), "rank")
-
-
-#: The queries of the whole search: every row whose id is divisible by 20.
+#: The queries of a search: every row whose id is divisible by 20.
 STATED = "vec_id % 20 = 0"
 
 
 @query(f"WITH p AS (SELECT x.vec_id AS query_id, y.vec_id, {COS} AS sim FROM embeddings x, embeddings y WHERE x.{STATED}) SELECT query_id, vec_id, round(sim, 5) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id)::INTEGER AS rank FROM p QUALIFY rank <= 6")
-def vector_topk_cosine_whole(spark, d):
-    """``vector_topk_cosine`` for the whole stated query set."""
+def vector_topk_cosine(spark, d):
     v = table(spark, d, "embeddings", "vec_id", "embedding").withColumnRenamed("embedding", "vector")
     return models.vector_top_k(v.where(STATED).withColumnRenamed("vec_id", "query_id"), v, 6).select("query_id", "vec_id", F.round("sim", 5).alias("sim"), "rank")
 
 
-@query(f"SELECT x.vec_id AS a, y.vec_id AS b, round(0.7 * ({COS}) + 0.3 * exp(-abs(len(x.embedding) - len(y.embedding)) - abs(x.label - y.label)), 5) AS sim FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1")
-def hybrid_similarity(spark, d):
-    v = table(spark, d, "embeddings", "vec_id", "embedding", "label")
-    x = v.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.col("embedding").alias("va"), F.col("label").alias("la"))
-    y = v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"), F.col("label").alias("lb"))
-    cos = models.dot(F.col("va"), F.col("vb")) / (models.norm(F.col("va")) * models.norm(F.col("vb")))
-    far = F.abs(F.size("va") - F.size("vb")) + F.abs(F.col("la") - F.col("lb"))
-    return x.join(y, "b").select("a", "b", F.round(0.7 * cos + 0.3 * F.exp(-far), 5).alias("sim"))
-
-
 HYBRID = f"0.7 * ({COS}) + 0.3 * exp(-abs(x.label - y.label))"
 
 
 @query(f"WITH p AS (SELECT x.vec_id AS query_id, y.vec_id, {HYBRID} AS sim FROM embeddings x, embeddings y WHERE x.{STATED}) SELECT query_id, vec_id, round(sim, 5) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id)::INTEGER AS rank FROM p QUALIFY rank <= 6")
-def hybrid_topk_whole(spark, d):
-    """The stated queries against all rows by the score of ``hybrid_similarity``; vectors of one table are equally long."""
+def hybrid_similarity(spark, d):
+    """The stated queries against all rows by a share of the cosine and one of how near the labels are."""
     v = table(spark, d, "embeddings", "vec_id", "embedding", "label").withColumnRenamed("embedding", "vector")
     found = models.vector_top_k(v.where(STATED).withColumnRenamed("vec_id", "query_id"), v, 6, number="label", share=0.7)
     return found.select("query_id", "vec_id", F.round("sim", 5).alias("sim"), "rank")

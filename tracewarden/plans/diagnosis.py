@@ -130,11 +130,11 @@ def metric_stats(spark, d) -> DataFrame:
 
 @query(
     f"WITH {STATS}, a AS (SELECT incident, bool_or(node = 0 AND metric = 'cpu_usage' AND peak >= 10 AND z >= 8) AS pressed, bool_or(node = 0 AND metric IN ('rx_drop_rate', 'tx_error_rate') AND z >= 8) AS dropping, bool_or(node <> 0 AND metric IN ('rx_drop_rate', 'tx_error_rate', 'carrier_changes') AND z >= 8) AS lossy FROM sx GROUP BY 1), "
-    "r AS (SELECT DISTINCT user_id % 10 AS incident FROM ev WHERE user_id // 10 % 12 = 0 AND k % 3 = 0 AND event_type = 'error'), s AS (SELECT coalesce(a.incident, r.incident) AS incident, CASE WHEN pressed THEN 'cpu_pressure' WHEN dropping THEN 'acl_drop' WHEN r.incident IS NOT NULL THEN 'default_route_error' WHEN lossy THEN 'loss' END AS sub FROM a FULL JOIN r ON r.incident = a.incident) "
+    "r AS (SELECT DISTINCT user_id % 10 AS incident FROM ev WHERE user_id // 10 % 12 = 0 AND value > 150 AND event_type = 'error'), s AS (SELECT coalesce(a.incident, r.incident) AS incident, CASE WHEN pressed THEN 'cpu_pressure' WHEN dropping THEN 'acl_drop' WHEN r.incident IS NOT NULL THEN 'default_route_error' WHEN lossy THEN 'loss' END AS sub FROM a FULL JOIN r ON r.incident = a.incident) "
     "SELECT incident, CASE WHEN sub = 'loss' THEN 'link' ELSE 'firewall' END AS major, sub FROM s WHERE sub IS NOT NULL"
 )
 def device_faults(spark, d):
-    routing = events(spark, d).where("k % 3 = 0 and event_type = 'error'").select((F.col("user_id") % 10).alias("incident"), (F.floor(F.col("user_id") / 10) % 12).alias("node"), F.lit("ipv6_default_route_info").alias("metric"))
+    routing = events(spark, d).where("value > 150 and event_type = 'error'").select((F.col("user_id") % 10).alias("incident"), (F.floor(F.col("user_id") / 10) % 12).alias("node"), F.lit("ipv6_default_route_info").alias("metric"))
     return E.device_faults(metric_stats(spark, d), routing, F.col("node") == 0)
 
 

@@ -9,6 +9,7 @@ from tracewarden.functions import scalars as S
 from tracewarden.operators import graph, intervals, ranks, stats
 from tracewarden.plans.features import UNIT
 from tracewarden.plans.registry import EVENTS, HOUR, POINTS, events, points, query
+from tracewarden.session import settled
 
 GAP = 24
 ISLANDS = f"""{POINTS}, {UNIT}, q AS (SELECT quantile_cont(s, 0.75) AS a FROM u), ab AS (SELECT u.* FROM u, q WHERE s >= a),
@@ -20,8 +21,7 @@ INCIDENTS = ISLANDS + ", inc AS (SELECT *, user_id % 10 AS grp, user_id * 10000
 
 def unusual(spark, d) -> DataFrame:
     """Points at or above the upper quartile of the unit rank, numbered by island."""
-    scored = ranks.rank_to_unit(points(spark, d), "m", "s")
-    marked = scored.withColumn("__a", ranks.at_quantile(scored, "s", 0.75)).where(F.col("s") >= F.col("__a")).drop("__a")
+    marked = ranks.rank_to_unit(settled(points(spark, d), "points"), "m", "s", [0.75]).where(F.col("s") >= F.col("edges")[0]).drop("edges")
     return intervals.islands(marked, ["user_id"], "h", F.lit(GAP))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracewarden.functions import scalars as S
 from tracewarden.operators import ranks, stats
 from tracewarden.plans.registry import EVENTS, HOUR, POINTS, events, points, query
+from tracewarden.session import settled
 from tracewarden.sources.sinks import coverage, routed
 from tracewarden.sources.tables import cleaned_number, cleaned_text, merge_segments, table
 
@@ -16,7 +17,7 @@ KINDS = ("error", "purchase", "signup", "view", "click")
 
 @query(f"WITH {POINTS}, {UNIT} SELECT user_id, round(0.65 * avg(s) + 0.35 * quantile_cont(s, 0.95), 6) AS score, count(*) AS n_points FROM u GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def node_anomaly_rank(spark, d):
-    scored = ranks.rank_to_unit(points(spark, d), "m", "s")
+    scored = ranks.rank_to_unit(settled(points(spark, d), "points"), "m", "s")
     per_node = scored.groupBy("user_id").agg(F.round(0.65 * F.avg("s") + 0.35 * F.percentile("s", 0.95), 6).alias("score"), F.count("*").alias("n_points"))
     return per_node.orderBy(F.desc("score"), "user_id").limit(10)
 
@@ -232,17 +233,15 @@ def rank_to_unit(spark, d):
 
 @query(f"WITH {POINTS}, {UNIT}, q AS (SELECT quantile_cont(s, 0.75) AS a, quantile_cont(s, 0.9) AS b FROM u) SELECT user_id, h, CASE WHEN s >= b THEN 2 WHEN s >= a THEN 1 ELSE 0 END AS pseudo FROM u, q")
 def pseudo_labels(spark, d):
-    scored = ranks.rank_to_unit(points(spark, d), "m", "s")
-    edges = ranks.quantiles(scored, "s", [0.75, 0.9]).scalar()
-    marked = scored.withColumn("q", edges)
-    return marked.select("user_id", "h", F.when(F.col("s") >= F.col("q")[1], 2).when(F.col("s") >= F.col("q")[0], 1).otherwise(0).alias("pseudo"))
+    scored = ranks.rank_to_unit(settled(points(spark, d), "points"), "m", "s", [0.75, 0.9])
+    low, high = F.col("edges")[0], F.col("edges")[1]
+    return scored.select("user_id", "h", F.when(F.col("s") >= high, 2).when(F.col("s") >= low, 1).otherwise(0).alias("pseudo"))
 
 
 @query(f"WITH {POINTS}, {UNIT}, q AS (SELECT quantile_cont(s, 0.75) AS a FROM u) SELECT user_id, h, round(CASE WHEN s >= a THEN 0.1 ELSE 1 - s / 2 END, 6) AS weight FROM u, q")
 def second_stage_weights(spark, d):
-    scored = ranks.rank_to_unit(points(spark, d), "m", "s")
-    marked = scored.withColumn("a", ranks.at_quantile(scored, "s", 0.75))
-    return marked.select("user_id", "h", F.round(F.when(F.col("s") >= F.col("a"), 0.1).otherwise(1 - F.col("s") / 2), 6).alias("weight"))
+    scored = ranks.rank_to_unit(settled(points(spark, d), "points"), "m", "s", [0.75])
+    return scored.select("user_id", "h", F.round(F.when(F.col("s") >= F.col("edges")[0], 0.1).otherwise(1 - F.col("s") / 2), 6).alias("weight"))
 
 
 @query(f"WITH {POINTS}, f AS (SELECT user_id, h, m, mx, n::DOUBLE AS n, CASE WHEN h % 3 = 0 THEN NULL ELSE m END AS g FROM pt), i AS (SELECT user_id, h, coalesce(g, (SELECT quantile_cont(g, 0.5) FROM f)) AS g, n FROM f) SELECT user_id, h, round((g - (SELECT avg(g) FROM i)) / (SELECT stddev_pop(g) FROM i), 6) AS g, round((n - (SELECT avg(n) FROM i)) / (SELECT CASE WHEN stddev_pop(n) > 0 THEN stddev_pop(n) ELSE 1 END FROM i), 6) AS n FROM i")
@@ -285,10 +284,15 @@ def missing_markers(spark, d):
     return table(spark, d, "events", "event_id", "value").select("event_id", F.round(cleaned_number(raw), 6).alias("number"), cleaned_text(raw).isNull().alias("missing"))
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_id % 2 = 0 UNION SELECT event_id, user_id FROM events WHERE event_id % 3 = 0")
+#: Two time segments that overlap by a week.
+LATE, EARLY = 1_705_276_800_000_000, 1_704_672_000_000_000
+
+
+@query(f"SELECT event_id, user_id FROM events WHERE epoch_us(ts) < {LATE} UNION SELECT event_id, user_id FROM events WHERE epoch_us(ts) >= {EARLY}")
 def segment_merge(spark, d):
-    e = table(spark, d, "events", "event_id", "user_id")
-    return merge_segments([e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0")])
+    e = events(spark, d)
+    parts = [e.where(F.col("us") < LATE), e.where(F.col("us") >= EARLY)]
+    return merge_segments([p.select("event_id", "user_id") for p in parts])
 
 
 @query("SELECT 'events' AS \"table\", count(*) AS rows FROM events UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'nation', count(*) FROM nation")

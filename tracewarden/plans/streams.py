@@ -44,5 +44,13 @@ def stream_session(spark, d):
 
 @query("SELECT user_id, event_type FROM events GROUP BY 1, 2")
 def stream_dedup(spark, d):
+    """The first of each pair. The watermark remembers a pair for 60 days: the table spans 30, so its twin needs no such limit."""
     stream = streams.first_only(_events(spark, d), "ts", ["user_id", "event_type"], "60 days")
     return _done(spark, stream.select("user_id", "event_type"), "append")
+
+
+@query("WITH w AS (SELECT event_type, value, epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS b FROM events), x AS (SELECT event_type, value, unnest([b, b - 21600000000]) AS start_us FROM w) SELECT start_us, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS peak FROM x GROUP BY 1, 2")
+def stream_sliding(spark, d):
+    """Baselines of twelve hours, a new one every six."""
+    out = _done(spark, streams.sliding(_events(spark, d), "ts", ["event_type"], "value", "12 hours", "6 hours", "1 day"), "complete")
+    return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("mean", 6).alias("mean"), "peak")

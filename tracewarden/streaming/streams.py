@@ -27,7 +27,7 @@ def sliding(events: DataFrame, ts: str, keys: list[str], value: str, width: str,
 
 
 def first_only(events: DataFrame, ts: str, keys: list[str], late: str) -> DataFrame:
-    """One row for each key while the watermark remembers it."""
+    """One row for each key while the watermark remembers it: a key that comes again later than ``late`` after its first row, by event time, is let through again, and its state is gone by then."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
