@@ -8,7 +8,9 @@ exactly. Words and their ids are kept in a bounded cache per worker.
 
 The vocabulary is a byte-level BPE file of the tokenizers library; its path is a parameter.
 Nulls count as empty texts, which have no tokens. Added tokens that the file names are cut out of a
-text first, as that library does. Empty tables give empty results.
+text first, as that library does. Very long texts and words are encoded whole; words over
+``CACHE_LENGTH`` are not kept. Repeated rows are encoded alike. Empty tables give empty results;
+other columns are ignored, whatever their names are.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +87,11 @@ class WordCoder:
         self.rank = {x << 32 | y: r for (x, y), (r, _) in self.merge.items()}
         self.made = {r: new for r, new in self.merge.values()}
         self.proposals = {b: i for b, i in self.ids.items() if len(b) == 1 or self.age[i] and self.exact(b) == [i]}
-        self.longest = max(map(len, self.proposals))
+        # the longest proposal that starts with each pair of bytes: no longer match is tried
+        self.reach: dict[bytes, int] = {}
+        for b in self.proposals:
+            self.reach[b[:2]] = max(self.reach.get(b[:2], 0), len(b))
+        self.byte_ranks = [self.rank.get(a << 32 | b, NEVER) for a in self.base for b in self.base]
         self.ranked = None
         self.words: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
@@ -117,29 +124,30 @@ class WordCoder:
 
     def exact_short(self, word: bytes) -> list[int]:
         """The same for short words: looks for the first of the earliest merges in a list of ranks."""
-        ids = [self.base[b] for b in word]
-        rank = self.rank.get
-        ranks = [rank(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == NEVER:
-                break
+        base, byte_ranks, rank, made = self.base, self.byte_ranks, self.rank.get, self.made
+        ids = [base[b] for b in word]
+        ranks = [byte_ranks[a << 8 | b] for a, b in zip(word, word[1:])]
+        while ranks and (least := min(ranks)) != NEVER:
             i = ranks.index(least)
-            ids[i : i + 2] = [self.made[least]]
-            del ranks[i]
+            ids[i] = new = made[least]
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], NEVER)
+                ranks[i - 1] = rank(ids[i - 1] << 32 | new, NEVER)
             if i < len(ranks):
-                ranks[i] = rank(ids[i] << 32 | ids[i + 1], NEVER)
+                ranks[i] = rank(new << 32 | ids[i + 1], NEVER)
         return ids
 
     def propose(self, word: bytes) -> list[int]:
-        known, n, at, out = self.proposals, len(word), 0, []
+        known, reach, n, at, out = self.proposals.get, self.reach.get, len(word), 0, []
+        token = known(word)
+        if token is not None:
+            return [token]
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                token = known.get(word[at:end])
-                if token is not None:
-                    break
+            end = min(n, at + reach(word[at : at + 2], 1))
+            token = known(word[at:end])
+            while token is None:  # a single byte is always known
+                end -= 1
+                token = known(word[at:end])
             out.append(token)
             at = end
         return out
@@ -235,7 +243,8 @@ class WordCoder:
                     runs, between = self.pieces(x)
                     for run in runs:
                         first.add(run[0])
-                        later.update(run)
+                        if len(run) > 1:
+                            later.update(islice(run, 1, None))
                     for words in between:
                         first.update(words)
                     plan.append((runs, between))
@@ -263,7 +272,7 @@ class WordCoder:
                 runs, between = x
                 for run, words in zip(runs, [*between, ()]):
                     out.append(get(run[0]))
-                    out += map(get_spaced, run[1:])
+                    out += map(get_spaced, islice(run, 1, None))
                     out += map(get, words)
             yield b"".join(out)
         for to in (known, spaced, self.words):
