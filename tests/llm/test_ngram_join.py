@@ -58,3 +58,27 @@ def test_edges(spark):
 def test_banding():
     bands, rows = ngram_join.banding()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 128
+
+
+def test_recall_by_similarity(spark, data_dir):
+    """Every pair at or above the threshold is linked, measured against all pairs: of real documents, and of planted pairs near the threshold."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()]
+    r = random.Random(8)
+    words = [f"v{i}" for i in range(3000)]
+    for i in range(150):
+        w = r.choices(words, k=160)
+        rows.append((50_000 + 2 * i, " ".join(w)))
+        for _ in range(i % 6):
+            w[r.randrange(160)] = "other"
+        rows.append((50_001 + 2 * i, " ".join(w)))
+    sets = {i: grams(t) for i, t in rows}
+    got = {x.doc_id: x.n_links for x in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found, wanted = {}, {}
+    for i in range(150):
+        a, b = sets[50_000 + 2 * i], sets[50_001 + 2 * i]
+        s = len(a & b) / len(a | b)
+        bin_ = min(9, int(s * 10))
+        wanted[bin_] = wanted.get(bin_, 0) + (s >= 0.8)
+        found[bin_] = found.get(bin_, 0) + (got[50_000 + 2 * i] > 0)
+    assert found == wanted and wanted[8] > 20 and wanted.get(7, 0) == 0
+    assert got == {i: n for i, (_, n, _) in brute(rows).items()}

@@ -34,8 +34,10 @@ def test_figures(spark):
 def test_hosts(spark):
     good, bad = " ".join(f"w{i}" for i in range(60)), "spam"
     rows = [(i, good, f"ok{i % 9}") for i in range(400)] + [(1000 + i, bad if i % 10 else good, "farm") for i in range(100)] + [(2000, good, None), (2000, good, None), (2001, bad, "tiny")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(*x, True, "h", 5.0, 7) for x in rows], "doc_id long, text string, source string, base_failed boolean, host string, rate double, k2 int")
     got = {r.doc_id: r.kept for r in quality_rules.verdicts(docs).collect()}
+    kept = quality_rules.filtered(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.source) for r in kept.collect()) == sorted((i, s) for i, t, s in rows if got[i])
     assert not got[1000] and not got[1010] and got[0] and got[2000] and not got[2001]
     assert quality_rules.verdicts(docs).count() == len(rows) and quality_rules.verdicts(docs.limit(0)).count() == 0
 

@@ -90,6 +90,7 @@ def test_production_lengths(spark, data_dir):
     for bands in (repeats.BANDS, ((3, 16), (9, 1))):
         got = {x[0]: tuple(x[1:]) for x in suffix_array_dedup.digests(docs, bands=bands).collect()}
         assert got == brute_bytes(rows, 400, 240, 50)
+    for bands in (substring_dedup.BANDS, ((3, 3), (9, 1))):
         got = {x[0]: tuple(x[1:]) for x in substring_dedup.digests(docs, bands=bands).collect()}
         assert got == brute_words(rows, 20)
 
@@ -134,3 +135,18 @@ def test_repeat_groups(spark):
     docs = spark.createDataFrame([(1, "abc " + passage), (2, passage + " tail"), (3, "other")], "doc_id long, text string")
     rows = suffix_array_dedup.repeat_groups(docs, 200, 50).collect()
     assert rows and all(len(r.occurrences) == 2 for r in rows)
+
+
+@pytest.mark.parametrize("size", [30, 200, 100_000])
+def test_against_a_reference(spark, size):
+    """Broadcast shards of any size find what a set of all windows finds."""
+    rows, least = corpus(5), 6
+    given = [t for i, t in rows if i is not None and i % 3 == 0]
+    windows = {tuple(w[s : s + least]) for t in given for w in [re.findall(r"[^\x20\x09-\x0D]+", t or "")] for s in range(len(w) - least + 1)}
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id long, text string, lo string, row int").repartition(3)
+    got = {r.doc_id: r.text for r in substring_dedup.against(docs, spark.createDataFrame([(t,) for t in given], "text string"), least, size).collect()}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        gone = {j for s in range(len(w) - least + 1) if tuple(w[s : s + least]) in windows for j in range(s, s + least)}
+        assert got[i] == (" ".join(x for j, x in enumerate(w) if j not in gone) if gone else t), i
+    assert substring_dedup.against(docs, docs.limit(0).select("text"), least).columns == docs.columns

@@ -11,8 +11,10 @@ tasks. Components come from the spanning edges.
 
 Vectors compare only when their labels are equal and not null. A vector that is null, all zero,
 or holds a null or non-finite component, and one whose label or id is null, links with nothing
-and stands alone; so do vectors of different lengths. Rows that share an id are one vector: it
-has the links of all its rows. Empty tables give empty results; other columns are ignored.
+and stands alone; so do vectors of different lengths. A vector without an id is kept and has no
+component. Ids and labels are whole numbers; what cannot be cast to one fails the query. A pair
+exactly at the threshold is linked. Rows that share an id are one vector: it has the links of all
+its rows. Empty tables give empty results; other columns are ignored, whatever their names are.
 """
 
 from __future__ import annotations

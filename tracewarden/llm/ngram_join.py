@@ -9,9 +9,11 @@ each member its number of links and one edge of a spanning tree; pairs are never
 All pairs of a component are verified, so candidates are a superset of the bands' pairs and the
 recall is at least what the band and row counts were chosen for.
 
-A document of fewer words than n has one n-gram, all its words; one without words, or without
-an id, links with nothing. Rows that share an id are one document: it has the links of all its
-texts. Empty tables give empty results; other columns are ignored.
+A document of fewer words than n has one n-gram, all its words; one without words (null and empty
+texts too), or without an id, links with nothing. Very long texts have whole sets like all others. A
+pair exactly at the similarity is linked. Rows that share an id are one document: it has the links
+of all its texts, and repeated rows count once each as copies. Empty tables give empty results;
+other columns are ignored, whatever their names are.
 """
 
 from __future__ import annotations

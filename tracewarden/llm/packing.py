@@ -8,7 +8,9 @@ packed anew, and the new packing is taken only if it needs fewer sequences. What
 is bounded per partition, so the last round, in one partition, is bounded too.
 
 Null texts count as empty; every document ends with the end token, so an empty one has one
-piece of length 1. Repeated rows are packed once each. Empty tables give empty results.
+piece of length 1. Very long texts are cut into pieces of the full size. Of equally long pieces
+any comes first, which changes no count. Repeated rows are packed once each. Empty tables give
+empty results; other columns are ignored, whatever their names are.
 """
 
 from __future__ import annotations

@@ -1,7 +1,10 @@
 """Substring dedup: matching statistics of documents against suffix automata of reference shards.
 
-A shard is one anchor group (see ``repeats``): all places where a repeated window with this
-anchor can be. The shard's automaton holds the reference, that is the segments that come
+``against`` holds documents to a reference of its own: the reference is cut into shards of a stated
+size, and one shard's automaton after another is broadcast and every document streamed through it.
+A corpus that is its own reference would need a pass over itself for each of its shards, so
+``digests`` and ``cleaned`` make other shards. There a shard is one anchor group (see ``repeats``): all
+places where a repeated window with this anchor can be. The shard's automaton holds the reference, that is the segments that come
 first in document order; each later segment is streamed through it, which gives for every word the
 length of the longest match that ends there, and is then added to it. Words in matches
 of the threshold or more are spans to remove. The automata are routed to the segments that can
@@ -19,10 +22,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracewarden.llm import repeats
+from tracewarden.llm.shared import written
 
 GRAM = 7
+#: As ``repeats.BANDS``, in windows of words: a segment has some seven.
+BANDS = ((2_000, 3), (20_000, 1))
 
 
 class SuffixAutomaton:
@@ -100,7 +107,7 @@ def _edit(text: bytes, spans: list[tuple[int, int]]) -> tuple:
     return len(words), sum(b - a for a, b in spans), kept
 
 
-def spans_by_text(docs: DataFrame, least: int = 20, gram: int = GRAM, bands: tuple = repeats.BANDS, keep: bool = False) -> tuple[repeats.Segments, DataFrame]:
+def spans_by_text(docs: DataFrame, least: int = 20, gram: int = GRAM, bands: tuple = BANDS, keep: bool = False) -> tuple[repeats.Segments, DataFrame]:
     """(segments, spans) for ``repeats.finished``."""
     found = repeats.segments(docs, (least,), min(gram, least // 2), by_word=True, bands=bands, keep=keep)
     return found, repeats.spans(found, _judge(least), 1)
@@ -125,3 +132,61 @@ def cleaned(docs: DataFrame, least: int = 20, **how) -> DataFrame:
         return (b" ".join(kept).decode(),), ("",) if n >= least else None
 
     return repeats.replaced(*spans_by_text(docs, least, keep=True, **how), edit).select(docs.columns)
+
+
+#: Words of a reference shard; its automaton has at most twice as many states, and is what is broadcast.
+SHARD_WORDS = 100_000
+
+
+def _shards(reference: DataFrame, least: int, size: int) -> Iterator[SuffixAutomaton]:
+    """Automata of the reference's texts, ``size`` words each. The driver holds one shard; a text that is cut goes on with the last ``least`` - 1 words in the next."""
+    shard, held, n = SuffixAutomaton(), 0, 0
+    for row in reference.select("text").where("text is not null").toLocalIterator():
+        words = [w for w in repeats.SPLIT.split(row["text"].encode()) if w]
+        at = 0
+        while len(words) - at >= least:
+            part = words[at : at + max(least, size - held)]
+            for word in part:
+                shard.add(word)
+            n, held = n + 1, held + len(part)
+            shard.add(n)  # a number is no word: no match goes on past it
+            at += len(part) - (least - 1)
+            if held >= size:
+                yield shard
+                shard, held = SuffixAutomaton(), 0
+    if held:
+        yield shard
+
+
+def against(docs: DataFrame, reference: DataFrame, least: int = 20, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs`` without the words in windows of ``least`` words that stand in a text of ``reference`` (text) too, joined by one space; texts that lose none stay as they are.
+
+    One pass over the documents for each shard, written before the next; what is broadcast is one shard's automaton, whose size ``shard_words`` bounds. Null texts stay null.
+    """
+    spark, kind = docs.sparkSession, docs.schema
+    state = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"), *(F.array().cast("array<long>").alias(c) for c in ("lo", "hi")))
+    for shard in _shards(reference, least, shard_words):
+        held = spark.sparkContext.broadcast((shard.step, shard.link, shard.length))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            own = SuffixAutomaton()
+            own.step, own.link, own.length = held.value
+            for batch in batches:
+                lows, highs = [], []
+                for text, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("body", "lo", "hi"))):
+                    ends = [j for j, size in enumerate(own.matches([w for w in repeats.SPLIT.split(text.encode()) if w]), 1) if size >= least]
+                    whole = repeats.merged([*lo, *(j - least for j in ends)], [*hi, *ends])
+                    lows.append([a for a, _ in whole])
+                    highs.append([b for _, b in whole])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("body"), *(pa.array(x, pa.list_(pa.int64())) for x in (lows, highs))], ["row", "body", "lo", "hi"])
+
+        state = written(state.mapInArrow(run, state.schema), "matched")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("body", "lo", "hi")))
+            new = [b" ".join(_edit(text.encode(), list(zip(lo, hi)))[2]).decode() if lo else None for text, lo, hi in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], ["row", "new"])
+
+    done = state.mapInArrow(finish, state.select("row").withColumn("new", F.lit(None).cast("string")).schema)
+    return done.select(*((F.coalesce("new", "row.text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in kind.names))
