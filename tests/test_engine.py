@@ -175,3 +175,37 @@ def test_text_vectors(spark):
     v = neural.text_vectors(spark.createDataFrame([(1, "a b c"), (2, "C b a"), (3, ""), (4, None), (5, "x y z")], "i int, t string"), "t")
     got = {r.i: np.array(r.vector) for r in v.collect()}
     assert np.allclose(got[1], got[2]) and not got[3].any() and not got[4].any() and abs(np.linalg.norm(got[5]) - 1) < 1e-9 and got[1] @ got[5] < 0.9
+
+
+def test_trimming_and_fetching(spark, tmp_path):
+    import http.server
+    import threading
+
+    from tracewarden.sources import tables
+
+    for n, (text, left) in enumerate([("a,b\n1,2\n3", "a,b\n1,2\n"), ("a,b\n1,2\n", "a,b\n1,2\n"), ("abc", "abc"), ("x" * 70_000 + "\n" + "y" * 140_000, "x" * 70_000 + "\n"), ("", "")]):
+        (tmp_path / f"t{n}.csv").write_text(text)
+        assert tables.trimmed(spark, f"file://{tmp_path}/t{n}.csv") == (len(text), len(left)) and (tmp_path / f"t{n}.csv").read_text() == left
+    handler = lambda *a: http.server.SimpleHTTPRequestHandler(*a, directory=str(tmp_path))
+    (tmp_path / "big.bin").write_bytes(b"z" * 3_000_000)
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        assert tables.fetched(f"http://127.0.0.1:{server.server_port}/big.bin", str(tmp_path / "got.bin")) == 3_000_000
+        with pytest.raises(OSError):
+            tables.fetched(f"http://127.0.0.1:{server.server_port}/none", str(tmp_path / "no.bin"), tries=2)
+        server.shutdown()
+    assert (tmp_path / "got.bin").read_bytes() == (tmp_path / "big.bin").read_bytes() and not (tmp_path / "no.bin").exists()
+    assert {r.path.rsplit("/", 1)[1] for r in tables.listed(spark, f"file://{tmp_path}").collect()} >= {"t0.csv", "big.bin", "got.bin"}
+
+
+def test_flat_names_and_flows(spark):
+    from tracewarden.operators import stats
+    from tracewarden.sources import tables
+
+    wide = spark.createDataFrame([((1, 2), 3)], "a struct<x: int, y: int>, b int")
+    assert stats.flat_names(wide).columns == ["a_x", "a_y", "b"]
+    raw = spark.createDataFrame([("2026-10-01 00:00:00", "CR-01", "5", "NULL", "a"), ("bad", "x", "1", "b", "a")], "minute_utc string, node string, packets string, src_addr string, dst_addr string")
+    row = tables.flow_records(raw).collect()
+    assert len(row) == 1 and (row[0].node, row[0].packets, row[0].bytes, row[0].src_addr, row[0].first_seen) == ("cr-1", 5.0, 0.0, "", None)
+    with pytest.raises(ValueError):
+        tables.flow_records(raw.drop("node"))

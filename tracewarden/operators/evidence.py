@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.functions.scalars import SATURATION, log_saturation
+from tracewarden.functions.scalars import SATURATION, level, log_saturation
 from tracewarden.operators import ranks
 from tracewarden.operators.decisions import ROOT_WEIGHTS, weighted
 
@@ -354,3 +354,65 @@ def anchors(answers: DataFrame, found: DataFrame, least: int = 5) -> DataFrame:
     """(incident, at, top): answers (incident, top) that name ``least`` elements, at the first time of the first candidate that has one."""
     first = found.where("first_time is not null").groupBy("incident").agg(F.min_by("first_time", "rank").alias("at"))
     return answers.where(F.size("top") >= least).join(first, "incident").select("incident", "at", "top")
+
+
+def incident_windows(windows: DataFrame) -> DataFrame:
+    """(incident, a, b, nodes): from the first start to the last end of the windows (incident, node, a, b) of its elements."""
+    return windows.groupBy("incident").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sort_array(F.collect_set("node")).alias("nodes"))
+
+
+def best_scores(scores: DataFrame) -> DataFrame:
+    """(node, score): the largest root score of each element over all incidents (incident, node, score)."""
+    return scores.groupBy("node").agg(F.max("score").alias("score"))
+
+
+def node_levels(points: DataFrame, share: float = 0.65) -> DataFrame:
+    """(node, mean, peak, level): an element's mean and peak score, and their mixture by ``share`` of the peak."""
+    x = points.groupBy("node").agg(F.avg("score").alias("mean"), F.max("score").alias("peak"))
+    return x.withColumn("level", share * F.col("peak") + (1 - share) * F.col("mean"))
+
+
+def candidate_order(incidents: DataFrame, scores: DataFrame, legal: Column) -> DataFrame:
+    """(incident, nodes): legal elements of the incident in their order, then further legal ones by falling score (incident, node, score)."""
+    more = scores.groupBy("incident").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "node"))), lambda x: x["node"]).alias("more"))
+    joined = incidents.join(more, "incident", "left").withColumn("all", F.array_distinct(F.concat("nodes", F.coalesce("more", F.array().cast("array<string>")))))
+    return joined.select("incident", F.filter("all", lambda x: F.array_contains(legal, x)).alias("nodes"))
+
+
+def resolved_score(df: DataFrame, columns: list[str], normal: str) -> tuple[str, DataFrame]:
+    """(which, ``df`` with score): the first of the columns that varies; else one less ``normal`` if there is such a column; else 0. Which one it is takes one aggregation."""
+    here = [c for c in columns if c in df.columns]
+    spread = df.agg(*(F.coalesce(F.max(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))) > F.min(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))), F.lit(False)).alias(c) for c in here)).first() if here else {}
+    for c in here:
+        if spread[c]:
+            return c, df.withColumn("score", F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)))
+    if normal in df.columns:
+        return f"1 - {normal}", df.withColumn("score", 1 - F.coalesce(F.col(normal).try_cast("double"), F.lit(1.0)))
+    return "none", df.withColumn("score", F.lit(0.0))
+
+
+# fixed values: edges of the levels that a fingerprint tells
+CPU_EDGES, Z_EDGES, MEMORY_EDGES, DISK_EDGES = (5, 15, 35), (3, 8, 20), (0.2, 0.5, 1.0), (10, 40, 80)
+
+
+def fingerprints(incidents: DataFrame, stats: DataFrame, top: DataFrame, flows: DataFrame, routing: DataFrame) -> DataFrame:
+    """(incident, text): an incident as a line of words without names of places, so that incidents of other regions have the same.
+
+    ``incidents``: incident, minutes, episodes, seeds (roles); ``stats``: incident, role, cpu, cpu_z, memory, disk; ``top``:
+    incident, roles (in order); ``flows``: incident, faults; ``routing``: incident, events, real, subs. Roles without a level are
+    told only where they are seeds.
+    """
+    told = lambda c, edges, name: F.when(level(F.col(c), edges) != "none", F.concat_ws(" ", F.lit(name), level(F.col(c), edges)))
+    bits = F.concat_ws(" ", told("cpu", CPU_EDGES, "cpu"), told("cpu_z", Z_EDGES, "cpu_z"), told("memory", MEMORY_EDGES, "mem"), told("disk", DISK_EDGES, "disk"))
+    each = stats.select("incident", "role", bits.alias("bits")).join(incidents.select("incident", "seeds"), "incident")
+    seen = each.withColumn("line", F.when(F.col("bits") != "", F.concat_ws(" ", "role", "bits")).when(F.array_contains("seeds", F.col("role")), F.concat_ws(" ", "role", F.lit("no_metric_anomaly"))))
+    per = seen.where("line is not null").groupBy("incident").agg(F.transform(F.array_sort(F.collect_list(F.struct("role", "line"))), lambda x: x["line"]).alias("lines"))
+    x = incidents.join(per, "incident", "left").join(top, "incident", "left").join(flows, "incident", "left").join(routing, "incident", "left")
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.concat_ws(" ", F.coalesce(c, none))
+    head = F.concat_ws(" ", F.lit("anomaly incident duration"), F.col("minutes").cast("string"), F.lit("min episodes"), F.col("episodes").cast("string"), F.lit("seed"), listed("seeds"))
+    ranked = F.when(F.size(F.coalesce("roles", none)) > 0, F.concat_ws(" ", F.lit("ranked candidates"), listed("roles")))
+    flow = F.concat_ws(" ", F.lit("application flow"), F.when(F.size(F.coalesce("faults", none)) > 0, listed("faults")).otherwise("none"))
+    route = F.concat_ws(" ", F.lit("routing events"), F.coalesce("events", F.lit(0)).cast("string"), F.lit("real_protocol_signal"), F.when(F.coalesce("real", F.lit(False)), "yes").otherwise("no"), F.when(F.size(F.coalesce("subs", none)) > 0, listed("subs")))
+    parts = F.concat(F.array(head), F.coalesce("lines", none), F.array_compact(F.array(ranked, flow, route)))
+    return x.select("incident", F.array_join(parts, " ; ").alias("text"))

@@ -45,6 +45,13 @@ def traffic_wide(df: DataFrame, keys: list[str], kind: str, kinds: list[str]) ->
     return df.groupBy(*keys).agg(*out)
 
 
+def counters_as_changes(df: DataFrame, series: list[str], ts: str, tie: str) -> DataFrame:
+    """``df`` with every traffic column whose name ends as a counter's does replaced by its change within the series, never below 0; the first row of a series has none."""
+    w = Window.partitionBy(*series).orderBy(ts, tie)
+    own = [c for c in traffic_columns(df) if c.lower().endswith(COUNTERS)]
+    return df.withColumns({c: F.greatest(F.col(c) - F.lag(c).over(w), F.lit(0)) for c in own}) if own else df
+
+
 def flat_names(df: DataFrame) -> DataFrame:
     """Columns of structs as columns of their own, named by both with an underscore."""
     out = []

@@ -437,3 +437,110 @@ def text_vector_norms(spark, d):
     v = neural.text_vectors(messages(spark, d).select("event_id", "message", S.template(F.col("message")).alias("template")), "message", out="x")
     v = neural.text_vectors(v, "template", out="y")
     return v.select("event_id", F.round(models.norm(F.col("x")), 6).alias("norm"), F.round(models.dot(F.col("x"), F.col("y")), 6).alias("sim"))
+
+
+@query(f"WITH {FACTS}, w AS (SELECT incident, node, min(time) AS a, max(time) AS b FROM fa GROUP BY 1, 2) SELECT incident, min(a) AS a, max(b) AS b, string_agg(node, ',' ORDER BY node) AS nodes FROM w GROUP BY 1")
+def incident_windows(spark, d):
+    w = facts(spark, d).groupBy("incident", "node").agg(F.min("time").alias("a"), F.max("time").alias("b"))
+    return E.incident_windows(w).select("incident", "a", "b", F.array_join("nodes", ",").alias("nodes"))
+
+
+@query(f"WITH {CANDIDATES} SELECT node, round(max(root), 6) AS score FROM rk GROUP BY 1")
+def element_root_scores(spark, d):
+    scores = candidates_of(spark, d).select("incident", "node", F.col("root_score").alias("score"))
+    return E.best_scores(scores).select("node", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {POINTS}, x AS (SELECT user_id AS node, avg(m) AS mean, max(m) AS peak FROM pt GROUP BY 1) SELECT node, round(mean, 6) AS mean, round(peak, 6) AS peak, round(0.65 * peak + 0.35 * mean, 6) AS level FROM x")
+def second_stage_nodes(spark, d):
+    x = E.node_levels(points(spark, d).select(F.col("user_id").alias("node"), F.col("m").alias("score")))
+    return x.select("node", *(F.round(c, 6).alias(c) for c in ("mean", "peak", "level")))
+
+
+@query(f"WITH {FLOW}, e AS (SELECT src % 5 AS incident, src, dst, round(sum(bytes), 2) AS bytes, count(*) AS n FROM fl WHERE src <> dst GROUP BY 1, 2, 3) SELECT incident, src, dst, bytes, n, row_number() OVER (PARTITION BY incident ORDER BY bytes DESC, src, dst) AS rank FROM e QUALIFY rank <= 4")
+def top_edges(spark, d):
+    """The heaviest edges of each incident."""
+    e = flows(spark, d).where("src <> dst").groupBy((F.col("src") % 5).alias("incident"), "src", "dst").agg(F.round(F.sum("bytes"), 2).alias("bytes"), F.count("*").alias("n"))
+    return ranks.top_k(e, ["incident"], [F.desc("bytes"), F.col("src"), F.col("dst")], 4)
+
+
+LEGAL = "['n0', 'n1', 'n2', 'n3', 'n4', 'n5', 'n12']"
+
+
+@query(f"WITH {CANDIDATES}, c3 AS (SELECT incident, list(node ORDER BY place) AS own FROM cl WHERE place <= 3 GROUP BY 1), m AS (SELECT incident, list(node ORDER BY -round(root, 9), node) AS more FROM rk GROUP BY 1), o AS (SELECT incident, list_concat(own, list_filter(more, lambda x: NOT list_contains(own, x))) AS l FROM c3 JOIN m USING (incident)) SELECT incident, array_to_string(list_filter(l, lambda x: list_contains({LEGAL}, x)), ',') AS nodes FROM o")
+def candidate_order(spark, d):
+    own = claimed(facts(spark, d)).where("place <= 3").groupBy("incident").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda x: x["node"]).alias("nodes"))
+    scores = candidates_of(spark, d).select("incident", "node", F.round("root_score", 9).alias("score"))
+    legal = F.array(*map(F.lit, ("n0", "n1", "n2", "n3", "n4", "n5", "n12")))
+    return E.candidate_order(own, scores, legal).select("incident", F.array_join("nodes", ",").alias("nodes"))
+
+
+@query(f"WITH {FACTS}, s AS (SELECT incident, list_sort(list(DISTINCT node)) AS x, list_sort(list(DISTINCT node) FILTER (modality = 'routing')) AS y FROM fa GROUP BY 1) SELECT a.incident AS x, b.incident AS y, len(list_intersect(coalesce(a.y, []), coalesce(b.y, []))) > 0 AS overlap, len(list_distinct(list_concat(coalesce(a.y, []), coalesce(b.y, []))))::INTEGER AS n_union, round(len(list_intersect(coalesce(a.y, []), coalesce(b.y, []))) / greatest(1, len(list_distinct(list_concat(coalesce(a.y, []), coalesce(b.y, []))))), 6) AS jaccard FROM s a JOIN s b ON b.incident = a.incident + 1")
+def node_sets(spark, d):
+    """Elements with routing facts of neighbouring incidents: whether they meet, their union, and their Jaccard coefficient."""
+    s = facts(spark, d).groupBy("incident").agg(F.collect_set(F.when(F.col("modality") == "routing", F.col("node"))).alias("y"))
+    other = s.select((F.col("incident") - 1).alias("incident"), F.col("y").alias("z"))
+    meet = F.arrays_overlap("y", "z")
+    return s.join(other, "incident").select(F.col("incident").alias("x"), (F.col("incident") + 1).alias("y"), meet.alias("overlap"), F.size(F.array_union("y", "z")).alias("n_union"), F.round(S.jaccard(F.col("y"), F.col("z")), 6).alias("jaccard"))
+
+
+@query(f"WITH {EVENTS}, {PRED}, p AS (SELECT grp, id, a + unnest(range(0, greatest(1, ceil((b - a) / 6))::BIGINT)) * 6.0 AS s, b FROM pr), q AS (SELECT grp, least(b, s + 6) - s AS len, s, row_number() OVER (PARTITION BY id ORDER BY s) AS k FROM p), r AS (SELECT grp, len FROM q WHERE k = 1 OR len >= 1), l AS (SELECT grp, list_sort(list(len)) AS x FROM r GROUP BY 1) SELECT grp, len(x) AS n, round(x[floor(0.5 * (len(x) - 1))::INT + 1], 6) AS median, round(x[floor(0.9 * (len(x) - 1))::INT + 1], 6) AS p90, round(x[-1], 6) AS most FROM l")
+def retime_report(spark, d):
+    """Windows cut into pieces of at most six hours, and what the pieces' lengths are in each group."""
+    pieces = intervals.split_intervals(predictions(spark, d), "a", "b", 6.0, 1.0).select("grp", (F.col("piece_end") - F.col("piece_start")).alias("len"))
+    q = E.lower_quantiles(pieces, "len", [0.5, 0.9], ["grp"])
+    return q.select("grp", "n", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p90"), F.round("most", 6).alias("most"))
+
+
+@query("SELECT event_id, round(value, 6) AS score FROM events")
+def spread_resolution(spark, d):
+    """The first score column that varies: one that is constant does not count."""
+    e = events(spark, d).withColumns({"combined": F.lit(0.5), "forest": F.col("value"), "recon": F.col("value") * 2})
+    _, found = E.resolved_score(e, ["missing", "combined", "forest", "recon"], "final_normal")
+    return found.select("event_id", F.round("score", 6).alias("score"))
+
+
+RAW_FLOW = "CASE l_orderkey % 4 WHEN 0 THEN 'BR-0' || (l_suppkey % 9 + 1) WHEN 1 THEN ' ' WHEN 2 THEN 'NULL' ELSE 'edge-firewall' END"
+
+
+@query(f"SELECT CASE l_orderkey % 4 WHEN 0 THEN 'br-' || (l_suppkey % 9 + 1) WHEN 3 THEN 'fw' ELSE 'unknown' END AS node, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE l_returnflag END AS protocol, count(*) AS n, round(sum(CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE l_quantity END), 2)::DOUBLE AS packets, min(epoch_us(l_shipdate) // 60000000) AS first_minute FROM lineitem GROUP BY 1, 2")
+def flow_normalisation(spark, d):
+    """Raw flow records, with missing markers and names as they come, in one form."""
+    k = F.col("l_orderkey")
+    node = F.when(k % 4 == 0, F.concat(F.lit("BR-0"), (F.col("l_suppkey") % 9 + 1).cast("string"))).when(k % 4 == 1, " ").when(k % 4 == 2, "NULL").otherwise("edge-firewall")
+    raw = table(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_quantity").select(
+        F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("minute_utc"), node.alias("node_key"), F.when(k % 3 == 0, "nan").otherwise(F.col("l_returnflag")).alias("protocol"),
+        F.lit("a").alias("src_addr"), F.lit("b").alias("dst_addr"), F.when(k % 5 == 0, "\\N").otherwise(F.col("l_quantity").cast("string")).alias("packets"),
+    )
+    from tracewarden.sources.tables import flow_records
+
+    x = flow_records(raw).groupBy("node", "protocol")
+    return x.agg(F.count("*").alias("n"), F.round(F.sum("packets"), 2).alias("packets"), F.min("ts_min").alias("first_minute"))
+
+
+@query(f"WITH {EVENTS}, c AS (SELECT *, sum(k) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM ev), f AS (SELECT user_id, greatest(total - lag(total) OVER (PARTITION BY user_id ORDER BY us, event_id), 0) AS delta, value FROM c) SELECT user_id, count(delta) AS n, sum(delta)::BIGINT AS delta, round(sum(value), 4) AS gauge FROM f GROUP BY 1")
+def traffic_counters(spark, d):
+    """Counters among the traffic columns as changes; gauges stay."""
+    w = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events(spark, d).withColumn("web_flow_total", F.sum("k").over(w)).withColumn("web_flow_latency", F.col("value"))
+    x = stats.counters_as_changes(rows, ["user_id"], "us", "event_id")
+    return x.groupBy("user_id").agg(F.count("web_flow_total").alias("n"), F.sum("web_flow_total").alias("delta"), F.round(F.sum("web_flow_latency"), 4).alias("gauge"))
+
+
+@query(
+    f"WITH {EVENTS}, st AS (SELECT user_id % 10 AS incident, (['br-1', 'cr-1', 'fw'])[user_id // 10 % 3 + 1] AS role, max(value) / 5 AS cpu, max(value) / 20 AS z, avg(value) / 100 AS mem, min(value) AS disk FROM ev GROUP BY 1, 2), "
+    "lv AS (SELECT incident, role, CASE WHEN cpu < 5 THEN '' WHEN cpu < 15 THEN 'cpu low' WHEN cpu < 35 THEN 'cpu mid' ELSE 'cpu high' END AS a, CASE WHEN z < 3 THEN '' WHEN z < 8 THEN 'cpu_z low' WHEN z < 20 THEN 'cpu_z mid' ELSE 'cpu_z high' END AS b, CASE WHEN mem < 0.2 THEN '' WHEN mem < 0.5 THEN 'mem low' WHEN mem < 1 THEN 'mem mid' ELSE 'mem high' END AS c, CASE WHEN disk < 10 THEN '' WHEN disk < 40 THEN 'disk low' WHEN disk < 80 THEN 'disk mid' ELSE 'disk high' END AS e FROM st), "
+    "ln AS (SELECT incident, string_agg(role || ' ' || array_to_string(list_filter([a, b, c, e], lambda x: x <> ''), ' '), ' ; ' ORDER BY role) AS lines FROM lv WHERE a || b || c || e <> '' GROUP BY 1), i AS (SELECT user_id % 10 AS incident, count(*) AS n, count(DISTINCT user_id) AS m, bool_or(value > 300) AS real FROM ev GROUP BY 1) "
+    "SELECT i.incident, 'anomaly incident duration ' || n || ' min episodes ' || m || ' seed br-1 fw ; ' || lines || ' ; ranked candidates fw br-1 ; application flow ' || CASE WHEN i.incident % 2 = 0 THEN 'web_slow' ELSE 'none' END || ' ; routing events ' || m || ' real_protocol_signal ' || CASE WHEN real THEN 'yes blackhole' ELSE 'no blackhole' END AS text FROM i JOIN ln USING (incident)"
+)
+def fingerprint_text(spark, d):
+    """Incidents as lines of words: levels of roles, ranked roles, flows and routing."""
+    e = events(spark, d)
+    key = (F.col("user_id") % 10).alias("incident")
+    role = F.element_at(F.array(F.lit("br-1"), F.lit("cr-1"), F.lit("fw")), (F.floor(F.col("user_id") / 10) % 3 + 1).cast("int"))
+    levels = e.groupBy(key, role.alias("role")).agg((F.max("value") / 5).alias("cpu"), (F.max("value") / 20).alias("cpu_z"), (F.avg("value") / 100).alias("memory"), F.min("value").alias("disk"))
+    i = e.groupBy(key).agg(F.count("*").alias("minutes"), F.count_distinct("user_id").alias("episodes"), F.bool_or(F.col("value") > 300).alias("real"))
+    top = i.select("incident", F.array(F.lit("fw"), F.lit("br-1")).alias("roles"))
+    flow = i.where("incident % 2 = 0").select("incident", F.array(F.lit("web_slow")).alias("faults"))
+    routing = i.select("incident", F.col("episodes").alias("events"), "real", F.array(F.lit("blackhole")).alias("subs"))
+    return E.fingerprints(i.select("incident", "minutes", "episodes", F.array(F.lit("br-1"), F.lit("fw")).alias("seeds")), levels, top, flow, routing)
