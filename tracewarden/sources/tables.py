@@ -150,7 +150,11 @@ def trimmed(spark: SparkSession, path: str) -> tuple[int, int]:
         return before, before
     aside = jvm.org.apache.hadoop.fs.Path(f"{path}.part")
     reader, writer = store.open(source), store.create(aside, True)
-    jvm.org.apache.hadoop.io.IOUtils.copyBytes(reader, writer, int(keep), False) if keep < 2**31 else jvm.org.apache.hadoop.io.IOUtils.copyBytes(reader, writer, keep, False)
+    left = keep
+    while left > 0:
+        part = reader.readNBytes(min(left, 1 << 20))
+        writer.write(part)
+        left -= len(part)
     reader.close()
     writer.close()
     store.delete(source, False)
