@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.operators import decisions as D
-from tracewarden.operators import graph, ranks, stats
+from tracewarden.operators import graph, ranks, selection, stats
 from tracewarden.plans.episodes import FIRST, INCIDENTS, first_times, incidents_of, ring
 from tracewarden.plans.features import FLOW, flows
 from tracewarden.plans.registry import EVENTS, HOUR, POINTS, events, points, query
@@ -17,21 +17,17 @@ DAY = 24 * HOUR
 
 @query(f"WITH {EVENTS}, ip AS (SELECT DISTINCT user_id, (user_id * 7919 * 65537) % 4294967296 AS ip FROM ev), px AS (SELECT n_nationkey::BIGINT AS owner, 8 + n_nationkey % 3 * 4 AS bits, (n_nationkey::BIGINT * 7919 * 65537 * 3) % 4294967296 AS net FROM nation UNION ALL SELECT -1, 0, 0) SELECT user_id, arg_max(owner, (bits, -owner)) AS owner FROM ip JOIN px ON ip >> (32 - bits)::BIGINT = net >> (32 - bits)::BIGINT GROUP BY 1")
 def longest_prefix_address(spark, d):
-    """Addresses to the most specific network that holds them: an equality join on the leading bits of every length in use."""
+    """Addresses to the most specific network that holds them."""
     ip = events(spark, d).select("user_id").distinct().withColumn("ip", F.col("user_id") * 7919 * 65537 % 4294967296)
-    net = table(spark, d, "nation", "n_nationkey").select(F.col("n_nationkey").cast("long").alias("owner"), (8 + F.col("n_nationkey") % 3 * 4).cast("int").alias("bits"), (F.col("n_nationkey").cast("long") * 7919 * 65537 * 3 % 4294967296).alias("net"))
-    net = net.unionAll(spark.sql("SELECT -1L, 0, 0L"))
-    lead = lambda c, bits: F.call_function("shiftrightunsigned", c, 32 - bits)
-    cut = ip.select("user_id", "ip", F.explode(F.array(*map(F.lit, (0, 8, 12, 16)))).alias("bits")).withColumn("lead", lead(F.col("ip"), F.col("bits")))
-    found = cut.join(net.select("owner", "bits", lead(F.col("net"), F.col("bits")).alias("lead")), ["bits", "lead"])
-    return found.groupBy("user_id").agg(F.max_by("owner", F.struct("bits", (-F.col("owner")).alias("o"))).alias("owner"))
+    key = F.col("n_nationkey").cast("long")
+    net = table(spark, d, "nation", "n_nationkey").select(key.alias("owner"), (8 + F.col("n_nationkey") % 3 * 4).cast("int").alias("bits"), (key * 7919 * 65537 * 3 % 4294967296).alias("net"))
+    return selection.longest_prefix(ip, net.unionAll(spark.sql("SELECT -1L, 0, 0L")), (0, 8, 12, 16)).select("user_id", "owner")
 
 
 @query(f"WITH {POINTS}, b AS (SELECT user_id, h, m, user_id % 5 AS role, CASE WHEN n >= 2 THEN 1 ELSE 0 END AS size FROM pt), r AS (SELECT *, row_number() OVER (PARTITION BY role, size ORDER BY m DESC, user_id, h) AS rn FROM b) SELECT user_id, h, role, size FROM r ORDER BY rn, role, size, user_id LIMIT 40")
 def round_robin_selection(spark, d):
     b = points(spark, d).select("user_id", "h", "m", (F.col("user_id") % 5).alias("role"), F.when(F.col("n") >= 2, 1).otherwise(0).alias("size"))
-    rn = F.row_number().over(Window.partitionBy("role", "size").orderBy(F.desc("m"), "user_id", "h"))
-    return b.withColumn("rn", rn).orderBy("rn", "role", "size", "user_id").limit(40).select("user_id", "h", "role", "size")
+    return selection.round_robin(b, ["role", "size"], [F.desc("m"), F.col("user_id"), F.col("h")], 40).select("user_id", "h", "role", "size")
 
 
 @query(f"WITH {POINTS}, i AS (SELECT user_id, h, row_number() OVER (PARTITION BY user_id ORDER BY h) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM pt) SELECT user_id, h FROM i WHERE n <= 12 OR i IN (SELECT round(j * (i.n - 1) / 11.0) FROM range(12) t(j))")
@@ -42,10 +38,7 @@ def even_sample(spark, d):
 @query(f"WITH {POINTS}, i AS (SELECT user_id, h, m, row_number() OVER (PARTITION BY user_id ORDER BY h) - 1 AS i FROM pt), w AS (SELECT user_id, h, i, m, unnest([i // 3, i // 3 - 1]) AS k FROM i), e AS (SELECT user_id, k, stddev_pop(m) AS e FROM w WHERE k >= 0 GROUP BY 1, 2) SELECT user_id, h, round(avg(e), 6) AS error FROM w JOIN e USING (user_id, k) GROUP BY 1, 2")
 def window_error_spread(spark, d):
     """Windows of six points, a new one every three; each point gets the mean error of its windows."""
-    i = points(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("h")) - 1)
-    w = i.withColumn("k", F.explode(F.array(F.floor(F.col("i") / 3), F.floor(F.col("i") / 3) - 1))).where("k >= 0")
-    e = w.groupBy("user_id", "k").agg(F.stddev_pop("m").alias("e"))
-    return w.join(e, ["user_id", "k"]).groupBy("user_id", "h").agg(F.round(F.avg("e"), 6).alias("error"))
+    return selection.window_errors(points(spark, d), ["user_id"], "h", "m", 6, 3).select("user_id", "h", F.round("error", 6).alias("error"))
 
 
 REPEATS = f"{EVENTS}, kp AS (SELECT user_id % 10 AS grp, user_id, value, r FROM ev, range(5) t(r) WHERE (event_id * 40503 + r * 7919) % 100 < 90), tp AS (SELECT r, grp, user_id, max(value) AS mx FROM kp GROUP BY 1, 2, 3), rr AS (SELECT *, row_number() OVER (PARTITION BY r, grp ORDER BY mx DESC, user_id) AS k FROM tp)"
@@ -56,22 +49,14 @@ def rank_stability(spark, d):
     """Ranks of elements over five repeats, each without a tenth of the evidence, dropped by a fixed hash."""
     kept = events(spark, d).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(4)))).where((F.col("event_id") * 40503 + F.col("r") * 7919) % 100 < 90)
     top = kept.groupBy("r", (F.col("user_id") % 10).alias("grp"), "user_id").agg(F.max("value").alias("mx"))
-    k = top.withColumn("k", F.row_number().over(Window.partitionBy("r", "grp").orderBy(F.desc("mx"), "user_id")))
-    return k.groupBy("grp", "user_id").agg(F.round(F.count_if(F.col("k") == 1) / 5.0, 6).alias("top1"), F.round(F.count_if(F.col("k") <= 3) / 5.0, 6).alias("top3"), F.round(F.avg("k"), 6).alias("mean_rank"), F.round(F.stddev_pop("k"), 6).alias("rank_std"))
-
-
-@query(f"WITH {EVENTS}, f AS (SELECT user_id % 10 AS grp, count(*) FILTER (event_type = 'error') / count(*) AS e, max(value) FILTER (event_type = 'view') AS v, bool_or(value > 300) AS x FROM ev GROUP BY 1) SELECT grp, CASE WHEN x THEN 'resource' WHEN e > 0.21 THEN 'routing' WHEN v > 200 THEN 'link' ELSE 'service' END AS category FROM f")
-def rule_classifier(spark, d):
-    f = events(spark, d).groupBy((F.col("user_id") % 10).alias("grp")).agg((F.count_if(F.col("event_type") == "error") / F.count("*")).alias("e"), F.max(F.when(F.col("event_type") == "view", F.col("value"))).alias("v"), F.bool_or(F.col("value") > 300).alias("x"))
-    return f.select("grp", D.chain([(F.col("x"), F.lit("resource")), (F.col("e") > 0.21, F.lit("routing")), (F.col("v") > 200, F.lit("link"))], F.lit("service")).alias("category"))
+    found = selection.rank_stability(top, ["grp"], "user_id", "r", "mx", 5)
+    return found.select("grp", "user_id", *(F.round(c, 6).alias(c) for c in ("top1", "top3", "mean_rank", "rank_std")))
 
 
 @query(f"WITH {POINTS}, t AS (SELECT user_id % 10 AS grp, h, row_number() OVER (PARTITION BY user_id % 10 ORDER BY m DESC, user_id, h) AS r FROM pt), w AS (SELECT grp, min(h) AS a, max(h) AS b, min(h) FILTER (r = 1) AS c FROM t WHERE r <= 5 GROUP BY 1) SELECT grp, CASE WHEN b - a <= 48 THEN a ELSE c - 1 END AS a, CASE WHEN b - a <= 48 THEN b ELSE c + 1 END AS b FROM w")
 def prediction_window(spark, d):
     t = points(spark, d).withColumn("grp", F.col("user_id") % 10)
-    w = ranks.top_k(t, ["grp"], [F.desc("m"), F.col("user_id"), F.col("h")], 5).groupBy("grp").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min(F.when(F.col("rank") == 1, F.col("h"))).alias("c"))
-    near = F.col("b") - F.col("a") <= 48
-    return w.select("grp", F.when(near, F.col("a")).otherwise(F.col("c") - 1).alias("a"), F.when(near, F.col("b")).otherwise(F.col("c") + 1).alias("b"))
+    return selection.prediction_window(t, ["grp"], "m", "h", "user_id", 5, 48, 1)
 
 
 CRITERIA = (("error", 0.3), ("view", 0.25), ("click", 0.2), ("purchase", 0.15), ("signup", 0.1))
@@ -81,10 +66,7 @@ CRITERIA = (("error", 0.3), ("view", 0.25), ("click", 0.2), ("purchase", 0.15),
 def criteria_mean_rank(spark, d):
     """The weighted mean of an element's ranks under five criteria; where it has none it counts as last."""
     top = events(spark, d).groupBy((F.col("user_id") % 10).alias("grp"), "user_id", "event_type").agg(F.max("value").alias("mx"))
-    k = top.withColumn("r", F.row_number().over(Window.partitionBy("grp", "event_type").orderBy(F.desc("mx"), "user_id")))
-    n = k.groupBy("grp").agg(F.count_distinct("user_id").alias("n"))
-    total = sum((w * F.coalesce(F.max(F.when(F.col("event_type") == c, F.col("r"))), F.col("n")) for c, w in CRITERIA), F.lit(0.0))
-    return k.join(n, "grp").groupBy("grp", "user_id", "n").agg(F.round(total, 6).alias("mean_rank")).drop("n")
+    return selection.criteria_rank(top, ["grp"], "user_id", "event_type", "mx", dict(CRITERIA)).select("grp", "user_id", F.round("mean_rank", 6).alias("mean_rank"))
 
 
 @query(f"WITH {FLOW}, m AS (SELECT src, dst, quantile_cont(bytes, 0.5) FILTER (day < 10000) AS base, quantile_cont(bytes, 0.5) FILTER (day >= 10000) AS now FROM fl GROUP BY 1, 2) SELECT src, dst, round(base, 4) AS base_median, round(now, 4) AS now_median, round(now / greatest(base, 1e-6), 5) AS ratio FROM m WHERE base IS NOT NULL AND now IS NOT NULL")
@@ -112,12 +94,10 @@ def causal_outflow(spark, d):
 
 @query(f"WITH {POINTS}, s AS (SELECT user_id % 5 AS role, list_sort(list(m)) AS x FROM pt GROUP BY 1) SELECT role, round(x[floor(0.5 * (len(x) - 1))::INTEGER + 1], 6) AS median, round(x[floor(0.9 * (len(x) - 1))::INTEGER + 1], 6) AS p90 FROM s")
 def role_summary(spark, d):
-    """Quantiles that are elements; by rank within the role, so no role is held in one array."""
+    """Quantiles that are elements."""
     p = points(spark, d).select((F.col("user_id") % 5).alias("role"), "m")
-    w = Window.partitionBy("role")
-    i = p.withColumn("i", F.row_number().over(w.orderBy("m")) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda f: F.max(F.when(F.col("i") == F.floor(f * (F.col("n") - 1)), F.col("m")))
-    return i.groupBy("role").agg(F.round(at(0.5), 6).alias("median"), F.round(at(0.9), 6).alias("p90"))
+    q = selection.element_quantiles(p, ["role"], "m", {"median": 0.5, "p90": 0.9})
+    return q.select("role", F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"))
 
 
 @query(f"WITH {EVENTS}, {'o AS (' + ' UNION ALL '.join(f'''SELECT user_id, us, {i} AS prio, '{k}' AS source FROM ev WHERE event_type = '{k}' AND value > {v}''' for i, (k, v) in enumerate((('error', 100), ('view', 120), ('click', 140), ('signup', 90), ('purchase', 150)))) + ')'} SELECT user_id, min(us) AS first_us, arg_min(source, us * 10 + prio) AS source, count(*) AS n, count(DISTINCT source) AS n_sources FROM o GROUP BY 1")
@@ -127,7 +107,7 @@ def temporal_observations(spark, d):
     for i, (kind, least) in enumerate((("error", 100), ("view", 120), ("click", 140), ("signup", 90), ("purchase", 150))):
         own = e.where((F.col("event_type") == kind) & (F.col("value") > least)).select("user_id", "us", F.lit(i).alias("prio"), F.lit(kind).alias("source"))
         out = own if out is None else out.unionByName(own)
-    return out.groupBy("user_id").agg(F.min("us").alias("first_us"), F.min_by("source", F.col("us") * 10 + F.col("prio")).alias("source"), F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"))
+    return selection.firsts(out, "user_id", "us", "source", "prio").withColumnRenamed("first", "first_us")
 
 
 @query(f"WITH {EVENTS}, v AS (SELECT user_id % 10 AS grp, user_id, CASE event_type WHEN 'error' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END AS w FROM ev WHERE value > 100), t AS (SELECT grp, user_id, sum(w)::BIGINT AS votes FROM v GROUP BY 1, 2) SELECT grp, user_id, votes FROM t QUALIFY row_number() OVER (PARTITION BY grp ORDER BY votes DESC, user_id) = 1")
@@ -137,17 +117,10 @@ def first_mover_vote(spark, d):
     return ranks.top_k(t, ["grp"], [F.desc("votes"), F.col("user_id")], 1).drop("rank")
 
 
-@query(f"WITH {EVENTS}, s AS (SELECT user_id, event_type, max(value) / avg(value) AS z FROM ev GROUP BY 1, 2) SELECT user_id, CASE WHEN max(z) >= 2 THEN arg_max(event_type, (round(z, 9), event_type)) ELSE 'none' END AS family, round(max(z), 6) AS strength FROM s GROUP BY 1")
-def strongest_family(spark, d):
-    s = events(spark, d).groupBy("user_id", "event_type").agg((F.max("value") / F.avg("value")).alias("z"))
-    x = s.groupBy("user_id").agg(F.max("z").alias("z"), F.max_by("event_type", F.struct(F.round("z", 9), "event_type")).alias("k"))
-    return x.select("user_id", F.when(F.col("z") >= 2, F.col("k")).otherwise("none").alias("family"), F.round("z", 6).alias("strength"))
-
-
 @query(f"WITH {EVENTS}, dv AS (SELECT us // {DAY} AS day, user_id, max(value) AS mx FROM ev GROUP BY 1, 2) SELECT day, count(*) AS n, count(*) FILTER (mx >= 120) AS n_high FROM dv GROUP BY 1 HAVING count(*) FILTER (mx >= 120) >= 2")
 def device_gate(spark, d):
     dv = events(spark, d).groupBy(F.floor(F.col("us") / DAY).alias("day"), "user_id").agg(F.max("value").alias("mx"))
-    return dv.groupBy("day").agg(F.count("*").alias("n"), F.count_if(F.col("mx") >= 120).alias("n_high")).where("n_high >= 2")
+    return selection.gate(dv, ["day"], "mx", 120, 2)
 
 
 @query(f"WITH {EVENTS}, q AS (SELECT user_id % 10 AS grp, quantile_cont(value, 0.99) AS a FROM ev GROUP BY 1) SELECT DISTINCT user_id % 10 AS grp, us FROM ev JOIN q ON q.grp = user_id % 10 WHERE value >= a")
@@ -167,10 +140,9 @@ def score_resolution(spark, d):
 @query(f"WITH {INCIDENTS}, dc AS (SELECT id, CASE id % 4 WHEN 0 THEN 'drop' WHEN 1 THEN 'merge' ELSE 'keep' END AS act, CASE WHEN id % 4 = 1 THEN id - 1 ELSE id END AS into_id FROM inc) SELECT into_id AS id, min(a) AS a, max(b) AS b, count(*) AS n FROM inc JOIN dc USING (id) WHERE act <> 'drop' GROUP BY 1")
 def decision_application(spark, d):
     """A decision for each incident: dropped ones go, merged ones are joined with the one they name."""
-    i = incidents_of(spark, d).select("id", "a", "b")
-    decided = i.select("id", F.when(F.col("id") % 4 == 0, "drop").when(F.col("id") % 4 == 1, "merge").otherwise("keep").alias("act"), F.when(F.col("id") % 4 == 1, F.col("id") - 1).otherwise(F.col("id")).alias("into"))
-    kept = i.join(decided, "id").where("act <> 'drop'")
-    return kept.groupBy(F.col("into").alias("id")).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n"))
+    i, own = incidents_of(spark, d).select("id", "a", "b"), F.col("id") % 4
+    decided = i.select("id", F.when(own == 0, "drop").when(own == 1, "merge").otherwise("keep").alias("act"), (F.col("id") - 1).alias("into"))
+    return selection.applied(i, decided)
 
 
 @query(f"WITH {INCIDENTS}, p AS (SELECT id, grp, peak, 1 - (row_number() OVER (PARTITION BY grp ORDER BY a, id) - 1) / greatest(1, count(*) OVER (PARTITION BY grp) - 1) AS early FROM inc), t AS (SELECT id, grp, 0.65 * peak + 0.35 * early AS t FROM p) SELECT id, round(CASE WHEN max(t) OVER w > min(t) OVER w THEN (t - min(t) OVER w) / (max(t) OVER w - min(t) OVER w) ELSE 0 END, 6) AS target FROM t WINDOW w AS (PARTITION BY grp)")
