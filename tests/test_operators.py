@@ -290,3 +290,20 @@ def test_trade_graph_has_all_pairs(spark, data_dir):
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     assert {(r.node, r.component) for r in run("trade_components")} == set(label.items())
+
+
+def test_streamed_memory_goes_on(spark, tmp_path):
+    """Batches of a stream, and a restart between them, give what one pass over all rows gives."""
+    from tracewarden.streaming import streams
+
+    r = np.random.default_rng(6)
+    rows = [(i, i % 3, (r.normal(0, 1, 4) * (i % 5 > 0) + (i % 5 == 0)).tolist()) for i in range(300)]
+    schema = "vec_id long, label int, vector array<double>"
+    whole = {(x.label, x.vec_id): (x.template, x.hits) for x in models.online_memory(spark.createDataFrame(rows, schema), ["label"], "vec_id", "vector", 0.9).collect()}
+    source, out, check = (f"file://{tmp_path}/{x}" for x in ("in", "out", "check"))
+    for n in range(3):
+        spark.createDataFrame(rows[n * 100 : n * 100 + 100], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = streams.source(spark, source, spark.createDataFrame([], schema).schema)
+        streams.published(streams.memory(stream, "label", "vec_id", "vector", 0.9), out, check).awaitTermination()
+    got = spark.read.option("recursiveFileLookup", True).parquet(out).collect()
+    assert {(x.label, x.vec_id): (x.template, x.hits) for x in got} == whole and len(got) == 300

@@ -143,12 +143,6 @@ def appeared_and_gone(rows: DataFrame, keys: list[str], series: str, inside: str
     return sides.where("now <> before").select(*keys, series, F.when(F.col("now"), "appeared").otherwise("disappeared").alias("change"))
 
 
-def lower_quantile(values: Column, f: float) -> Column:
-    """The element at int(f * (n - 1)) of the sorted values: not interpolated."""
-    ordered = F.array_sort(values)
-    return F.element_at(ordered, (F.floor(f * (F.size(ordered) - 1)) + 1).cast("int"))
-
-
 def lagged_regression(df: DataFrame, by: list[str], step: str, x: str, y: str, lags: int, normal: Column) -> DataFrame:
     """The lag of 0..``lags`` steps at which x correlates best with y, and y regressed on x at it, over rows where ``normal``.
 

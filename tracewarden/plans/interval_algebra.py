@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.operators import graph, intervals, stats
+from tracewarden.operators import evidence, graph, intervals, stats
 from tracewarden.plans.registry import EVENTS, HOUR, events, query
 
 #: Predictions: hours with a value above 100, islands of at most 12 hours; truth: above 60, at most 6 hours. Groups of ten users.
@@ -181,8 +181,8 @@ def nearest_category(spark, d):
 
 @query(f"WITH {EVENTS}, {PRED}, dd AS (SELECT grp, list_sort(list(round(b - a, 6))) AS x FROM pr GROUP BY 1) SELECT grp, x[floor(0.5 * (len(x) - 1))::INTEGER + 1] AS p50, x[floor(0.9 * (len(x) - 1))::INTEGER + 1] AS p90, len(x)::INTEGER AS n FROM dd")
 def duration_statistics(spark, d):
-    x = predictions(spark, d).groupBy("grp").agg(F.collect_list(F.round(F.col("b") - F.col("a"), 6)).alias("x"))
-    return x.select("grp", stats.lower_quantile(F.col("x"), 0.5).alias("p50"), stats.lower_quantile(F.col("x"), 0.9).alias("p90"), F.size("x").alias("n"))
+    q = evidence.lower_quantiles(predictions(spark, d).select("grp", F.round(F.col("b") - F.col("a"), 6).alias("x")), "x", [0.5, 0.9], ["grp"])
+    return q.select("grp", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), F.col("n").cast("int").alias("n"))
 
 
 @query(f"WITH {EVENTS}, {PRED} SELECT id, round(a - 5 - 60, 6) AS base_a, round(a - 5, 6) AS base_b FROM pr")

@@ -54,3 +54,10 @@ def stream_sliding(spark, d):
     """Baselines of twelve hours, a new one every six."""
     out = _done(spark, streams.sliding(_events(spark, d), "ts", ["event_type"], "value", "12 hours", "6 hours", "1 day"), "complete")
     return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("mean", 6).alias("mean"), "peak")
+
+
+@query()
+def stream_memory(spark, d):
+    """Online memory by label over the vectors as a stream."""
+    rows = streams.source(spark, d, table(spark, d, "embeddings").schema, "embeddings.parquet")
+    return _done(spark, streams.memory(rows, "label", "vec_id", "embedding", 0.5), "append")

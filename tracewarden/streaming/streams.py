@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 
 def source(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet") -> DataFrame:
@@ -38,3 +42,36 @@ def published(stream: DataFrame, path: str, checkpoint: str, mode: str = "append
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+def memory(stream: DataFrame, by: str, order: str, vector: str, tau: float) -> DataFrame:
+    """(by, order, template, hits): online memory over a stream. Each key keeps its templates; a row that is as near as ``tau`` to one adds to its hits, others become new ones.
+
+    Rows of a batch are taken in order; a later batch goes on where the one before stopped. A key's state is
+    its unit vectors and their hits, as bytes in the state store, so a restart goes on too.
+    """
+    kinds = stream.select(by, order).schema.fields
+    out = StructType([*kinds, StructField("template", LongType()), StructField("hits", LongType())])
+    held = StructType([StructField("size", LongType()), StructField("templates", BinaryType()), StructField("hits", BinaryType())])
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        size, packed, counted = state.get if state.exists else (0, b"", b"")
+        templates = list(np.frombuffer(packed, dtype=float).reshape(-1, size)) if size else []
+        hits = np.frombuffer(counted, dtype=np.int64).tolist()
+        rows = pd.concat(list(parts)).sort_values(order)
+        which, counts = [], []
+        for v in rows[vector]:
+            x = np.asarray(v, dtype=float)
+            x = x / max(float(np.linalg.norm(x)), 1e-300)
+            near = np.array(templates) @ x if templates else np.zeros(0)
+            j = int(near.argmax()) if len(near) and near.max() >= tau else len(templates)
+            if j == len(templates):
+                templates.append(x)
+                hits.append(0)
+            hits[j] += 1
+            which.append(j)
+            counts.append(hits[j])
+        state.update((len(templates[0]), np.array(templates).tobytes(), np.array(hits, dtype=np.int64).tobytes()))
+        yield rows[[by, order]].assign(template=which, hits=counts)
+
+    return stream.select(by, order, vector).groupBy(by).applyInPandasWithState(step, out, held, "append", "NoTimeout")
