@@ -198,3 +198,16 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: fl
     one = real.select("doc_id", *key).join(result, key).select("doc_id", "class_id", "n_links")
     alone = sketch.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return one.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def oracle_sql() -> str:
+    """``join`` as DuckDB SQL for five words and 0.8: all pairs that share an n-gram, counted in full."""
+    return r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) AS i FROM w)),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), m AS (SELECT s FROM g GROUP BY 1 HAVING count(*) > 1), h AS (SELECT g.* FROM g JOIN m USING (s)),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM h x JOIN h y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 5 * c >= 4 * (na.n + nb.n - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS node, doc_id AS root FROM w UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+    t AS (SELECT node, min(root) AS class_id FROM r GROUP BY 1), k AS (SELECT a, count(*) AS k FROM e GROUP BY 1)
+    SELECT node AS doc_id, class_id, coalesce(k, 0)::BIGINT AS n_links, class_id = node AS kept FROM t LEFT JOIN k ON k.a = node"""

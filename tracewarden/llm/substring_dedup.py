@@ -134,6 +134,18 @@ def cleaned(docs: DataFrame, least: int = 20, **how) -> DataFrame:
     return repeats.replaced(*spans_by_text(docs, least, keep=True, **how), edit).select(docs.columns)
 
 
+def oracle_sql(least: int = 20) -> str:
+    """``digests`` as DuckDB SQL: every window of every text, numbered among its equals in document order."""
+    return rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {least - 1}], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {least - 2})) AS i FROM w)),
+    d AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM g) WHERE r > 1),
+    c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + {least})) AS p FROM d) GROUP BY 1),
+    k AS (SELECT w.doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
+    x AS (SELECT doc_id, string_agg(ws[p], ' ' ORDER BY p) AS kept FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w) u WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id AS e, unnest(gone) AS q FROM c) z WHERE z.e = u.doc_id AND z.q = u.p) GROUP BY 1)
+    SELECT k.doc_id, len(ws)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN x ON x.doc_id = k.doc_id"""
+
+
 #: Words of a reference shard; its automaton has at most twice as many states, and is what is broadcast.
 SHARD_WORDS = 100_000
 

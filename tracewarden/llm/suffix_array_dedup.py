@@ -164,3 +164,26 @@ def cleaned(docs: DataFrame, least: int = 400, words: int | None = None, passage
         return (_kept(text, gone).decode(errors="ignore"),), None
 
     return repeats.replaced(*spans_by_text(docs, least, passage, keep=True, **how), edit).select(docs.columns)
+
+
+def oracle_sql(least: int = 400, passage: int = PASSAGE_BYTES, words: int = PASSAGE_WORDS) -> str:
+    """``digests`` as DuckDB SQL: every window of every text in hexadecimal, counted by its MD5, and the union of those seen twice."""
+
+    def spans(name: str, size: int) -> str:
+        return f"""g{name} AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, {2 * size})) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {size - 1})) AS i FROM d)),
+    q{name} AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM g{name}) WHERE n > 1),
+    u{name} AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER v <= {size} THEN 0 ELSE 1 END AS fresh FROM q{name} WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+    s{name} AS (SELECT doc_id, min(i) AS a, max(i) + {size} AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM u{name}) GROUP BY doc_id, run)"""
+
+    white = "['20', '09', '0A', '0B', '0C', '0D']"
+    return f"""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    {spans('w', least)},
+    {spans('p', passage)},
+    k AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, list({{'a': a, 'b': b}} ORDER BY a) AS l FROM sw GROUP BY 1),
+    m AS (SELECT sp.doc_id, b - a AS size, regexp_extract_all(substr(h, 2 * a + 1, 2 * (b - a)), '..') AS x FROM sp JOIN d ON d.doc_id = sp.doc_id),
+    t AS (SELECT doc_id, count(*) AS n, sum(size) AS bytes FROM (SELECT doc_id, size, len(list_filter(range(1, len(x) + 1), lambda j: NOT list_contains({white}, x[j]) AND (j = 1 OR list_contains({white}, x[j - 1])))) AS n_words FROM m) WHERE n_words > {words} GROUP BY 1)
+    SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+      sha256(unhex(CASE WHEN l IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(l) + 1), lambda j: substr(h, CASE WHEN j = 0 THEN 1 ELSE 2 * l[j].b + 1 END, CASE WHEN j = len(l) THEN len(h) ELSE 2 * l[j + 1].a - CASE WHEN j = 0 THEN 0 ELSE 2 * l[j].b END END)), '') END)) AS kept_sha256,
+      coalesce(t.n, 0)::BIGINT AS n_passages, coalesce(t.bytes, 0)::BIGINT AS n_passage_bytes
+    FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
