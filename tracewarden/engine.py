@@ -26,6 +26,11 @@ KINDS = {"node_metrics": "node_metrics", "topology": "topology|edges", "events":
 STAGES = ("points", "scores", "episodes", "incidents", "facts", "candidates", "predictions")
 
 
+def metric_name(column: str) -> str:
+    """A column's name in snake case."""
+    return "".join(c if c.isalnum() else "_" for c in column.strip().lower()).strip("_") or "metric"
+
+
 class Engine:
     def __init__(self, spark: SparkSession, config: Config | None = None) -> None:
         self.spark, self.config = spark, config or Config()
@@ -69,9 +74,9 @@ class Engine:
         raw = self.given["node_metrics"]
         keys = {"dataset", "timestamp", "node", "region", "node_type"}
         names = sorted(c for c in raw.columns if c not in keys)[: self.config.max_feature_columns]
-        clean = raw.select("dataset", F.col("timestamp").try_cast("timestamp").alias("ts"), S.canonical_node(F.col("node")).alias("node"), *(tables.cleaned_number(F.col(f"`{c}`")).alias(S_name(c)) for c in names))
+        clean = raw.select("dataset", F.col("timestamp").try_cast("timestamp").alias("ts"), S.canonical_node(F.col("node")).alias("node"), *(tables.cleaned_number(F.col(f"`{c}`")).alias(metric_name(c)) for c in names))
         element = S.element_id(S.region_code(F.col("dataset")), F.col("node"))
-        kept = [S_name(c) for c in names]
+        kept = [metric_name(c) for c in names]
         binned = stats.binned(clean.withColumn("element", element), "ts", self.config.bin_minutes, ["dataset", "element", "node"], [F.avg(c).alias(c) for c in kept])
         return binned.select("dataset", "element", S.role_of(F.col("node")).alias("role"), "bin", (F.unix_timestamp("bin") / 60).alias("t"), *kept)
 
@@ -185,11 +190,6 @@ class Engine:
         return whole.select(number.alias("prediction_id"), at("a").alias("start_time"), at("b").alias("end_time"), "root_cause_top5", pair.alias("fault_category"), "confidence")
 
 
-def S_name(column: str) -> str:
-    """A column's name in snake case."""
-    return "".join(c if c.isalnum() else "_" for c in column.strip().lower()).strip("_") or "metric"
-
-
 def experiment(spark: SparkSession, config: Config, runs: dict[str, dict], finished: dict[str, dict] | None = None, put: Callable[[str, dict], None] | None = None) -> dict[str, dict]:
     """Runs the engine once for each set of changed knobs; name -> counts. Names in ``finished`` are not run again, and ``put`` is told of each run that ends, so a broken-off series goes on."""
     out = dict(finished or {})
