@@ -147,7 +147,10 @@ def scan(docs: DataFrame) -> DataFrame:
     table = F.broadcast(known(spark))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), F.xxhash64("text").alias("k2"))
-    whole = keyed.select("doc_id", "k1", "k2", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.sha2(looked_up(F.col("text")), 256).alias("known")).join(table, "known", "left")
+    # both forms of a text without any of the hints are the same, so most texts are brought to one form only
+    plain = keyed.select("doc_id", "k1", "k2", "text", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    known_form = F.when(F.lower("text").rlike(FORM_HINT), F.sha2(looked_up(F.col("text")), 256)).otherwise(F.col("digest"))
+    whole = plain.select("doc_id", "k1", "k2", "digest", known_form.alias("known")).join(table, "known", "left")
     lines = keyed.select("k1", "k2", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(LINE_HINT))).alias("line", "body"))
     found = lines.select("k1", "k2", "line", F.sha2(looked_up(F.col("body")), 256).alias("known")).join(table, "known")
     by_text = found.groupBy("k1", "k2").agg(F.countDistinct("line").alias("n_license_lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
