@@ -307,3 +307,14 @@ def test_streamed_memory_goes_on(spark, tmp_path):
         streams.published(streams.memory(stream, "label", "vec_id", "vector", 0.9), out, check).awaitTermination()
     got = spark.read.option("recursiveFileLookup", True).parquet(out).collect()
     assert {(x.label, x.vec_id): (x.template, x.hits) for x in got} == whole and len(got) == 300
+
+
+def test_streams_read_tables_of_many_files(spark, data_dir, tmp_path):
+    """A table may be a folder of part files."""
+    from tracewarden import plans
+
+    for name, parts in (("events", 3), ("embeddings", 4)):
+        spark.read.parquet(f"{data_dir}/{name}.parquet").repartition(parts).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    for name in ("stream_memory", "stream_tumbling", "stream_session", "stream_dedup", "stream_sliding"):
+        whole = sorted(map(tuple, plans.QUERIES[name](spark, data_dir).collect()))
+        assert whole and sorted(map(tuple, plans.QUERIES[name](spark, f"file://{tmp_path}").collect())) == whole

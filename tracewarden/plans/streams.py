@@ -15,7 +15,7 @@ from tracewarden.streaming import streams
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
-    return streams.source(spark, folder, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.table_source(spark, folder, "events", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _done(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
@@ -59,5 +59,5 @@ def stream_sliding(spark, d):
 @query()
 def stream_memory(spark, d):
     """Online memory by label over the vectors as a stream."""
-    rows = streams.source(spark, d, table(spark, d, "embeddings").schema, "embeddings.parquet")
+    rows = streams.table_source(spark, d, "embeddings", table(spark, d, "embeddings").schema)
     return _done(spark, streams.memory(rows, "label", "vec_id", "embedding", 0.5), "append")

@@ -16,6 +16,12 @@ def source(spark: SparkSession, folder: str, schema: StructType, pattern: str =
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def table_source(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """The Parquet table ``name`` of a folder as a stream, be it one file or a folder of part files."""
+    # a pattern of one name: the source takes a plain path for a folder and fails on a file
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/[{name[0]}]{name[1:]}.parquet")
+
+
 def tumbling(events: DataFrame, ts: str, keys: list[str], value: str, width: str, late: str) -> DataFrame:
     """Mean and count per bin; rows later than the watermark are dropped."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("window.start").alias("bin"), *keys, "n", "mean")
@@ -56,22 +62,25 @@ def memory(stream: DataFrame, by: str, order: str, vector: str, tau: float) -> D
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         size, packed, counted = state.get if state.exists else (0, b"", b"")
-        templates = list(np.frombuffer(packed, dtype=float).reshape(-1, size)) if size else []
         hits = np.frombuffer(counted, dtype=np.int64).tolist()
         rows = pd.concat(list(parts)).sort_values(order)
+        size = size or len(rows[vector].iloc[0])
+        templates = np.frombuffer(packed, dtype=float).reshape(-1, size)  # with room for more, doubled when full
         which, counts = [], []
         for v in rows[vector]:
             x = np.asarray(v, dtype=float)
             x = x / max(float(np.linalg.norm(x)), 1e-300)
-            near = np.array(templates) @ x if templates else np.zeros(0)
-            j = int(near.argmax()) if len(near) and near.max() >= tau else len(templates)
-            if j == len(templates):
-                templates.append(x)
+            near = templates[: len(hits)] @ x
+            j = int(near.argmax()) if len(near) and near.max() >= tau else len(hits)
+            if j == len(hits):
+                if j == len(templates):
+                    templates = np.concatenate([templates, np.empty((max(64, j), size))])
+                templates[j] = x
                 hits.append(0)
             hits[j] += 1
             which.append(j)
             counts.append(hits[j])
-        state.update((len(templates[0]), np.array(templates).tobytes(), np.array(hits, dtype=np.int64).tobytes()))
+        state.update((size, templates[: len(hits)].tobytes(), np.array(hits, dtype=np.int64).tobytes()))
         yield rows[[by, order]].assign(template=which, hits=counts)
 
     return stream.select(by, order, vector).groupBy(by).applyInPandasWithState(step, out, held, "append", "NoTimeout")
