@@ -318,3 +318,21 @@ def test_streams_read_tables_of_many_files(spark, data_dir, tmp_path):
     for name in ("stream_memory", "stream_tumbling", "stream_session", "stream_dedup", "stream_sliding"):
         whole = sorted(map(tuple, plans.QUERIES[name](spark, data_dir).collect()))
         assert whole and sorted(map(tuple, plans.QUERIES[name](spark, f"file://{tmp_path}").collect())) == whole
+
+
+def test_streamed_groups_stay_whole_after_a_union(spark):
+    """Both sides of a union lie by the group already, in partitions of different sizes, which adaptive execution joins in different ways."""
+
+    def side(n, at):
+        runs = intervals.islands(spark.range(n).select((F.col("id") % 10).alias("k"), F.rand(at).alias("t")), ["k"], "t", F.lit(1.0))
+        return runs.groupBy("k", "island").agg(F.min("t").alias("a"), (F.max("t") + 1 + at).alias("b")).select("k", "a", "b", F.lit(at).cast("long").alias("id"))
+
+    kept = {x: spark.conf.get(x, None) for x in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.shuffle.partitions")}
+    try:
+        for name, value in zip(kept, ("64k", "1k", "false", "16")):
+            spark.conf.set(name, value)
+        both = side(100_000, 0).unionByName(side(2_000, 1))
+        assert sorted((r.k, r.id) for r in intervals.disjoint_subset(both, ["k"], "a", "b", "id").collect()) == [(k, 0) for k in range(10)]
+    finally:
+        for name, value in kept.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -149,7 +149,9 @@ def _streamed(df: DataFrame, by: list[str], order: list[str], start, step, schem
                 out = out.assign(**{schema.fields[-1].name: [v for v in values if v is not None]})
             yield out
 
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+    # dealt by a hash of its own: where both sides of a union lie by ``by`` already, Spark leaves out a shuffle by the same columns,
+    # and adaptive execution then joins the partitions of each side in its own way, which tears groups apart
+    return df.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
 
 def disjoint_subset(df: DataFrame, by: list[str], start: str, end: str, tie: str) -> DataFrame:
