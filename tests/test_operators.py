@@ -336,3 +336,24 @@ def test_streamed_groups_stay_whole_after_a_union(spark):
     finally:
         for name, value in kept.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_means_of_points_do_not_depend_on_files(spark, tmp_path):
+    """Means are bit for bit those of a sum in the order of ids, so equal means share their place and ranks follow."""
+    import datetime
+
+    from tracewarden import plans
+
+    r, at = random.Random(5), datetime.datetime(2024, 1, 1)
+    values = [[round(r.uniform(0, 200), 2) for _ in range(5)] for _ in range(40)]
+    rows = [(i * 200 + u, at, u, "view", values[u % 40][i], '{"k": 1}') for u in range(200) for i in range(5)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    events.repartition(8, F.xxhash64("event_id")).write.parquet(f"file://{tmp_path}/events.parquet")
+    want = {}
+    for u in range(200):
+        total = 0.0
+        for v in values[u % 40]:
+            total += v
+        want[u] = total / 5
+    place = {u: i for i, u in enumerate(sorted(want, key=lambda u: (want[u], u)), 1)}
+    assert {x.user_id: x.point_rank for x in plans.QUERIES["point_rank"](spark, f"file://{tmp_path}").collect()} == place

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewarden.sources.tables import table
@@ -36,6 +36,12 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
-    """Events by user and hour: mean, maximum and count of the value."""
-    hour = F.floor(F.col("us") / HOUR).alias("h")
-    return events(spark, folder).groupBy("user_id", hour).agg(F.avg("value").alias("m"), F.max("value").alias("mx"), F.count("*").alias("n"))
+    """Events by user and hour: mean, maximum and count of the value.
+
+    Values are added up in the order of their ids, as SQL does in one thread: partial sums would make means that are
+    equal differ in the last bit, and ranks with them. A window does it, which spills where one hour has many events.
+    """
+    rows = events(spark, folder).withColumn("h", F.floor(F.col("us") / HOUR))
+    so_far = Window.partitionBy("user_id", "h").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    means = rows.select("user_id", "h", "event_id", "value", F.avg("value").over(so_far).alias("m"))
+    return means.groupBy("user_id", "h").agg(F.max_by("m", "event_id").alias("m"), F.max("value").alias("mx"), F.count("*").alias("n"))
